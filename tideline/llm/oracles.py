@@ -47,4 +47,53 @@ select doc_id, cast(len(w) as bigint) n_words, coalesce(n_hit, 0) n_hit, coalesc
 from w left join pos using (rid) left join its using (rid)
 """.replace("lower(text)", "text")
 
-ORACLES = {"op1_topk_search": OP1, "op2_chat_format": OP2, "op9_decontaminate": OP9}
+OP8 = r"""
+with d as (
+  select row_number() over () rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents
+), win as (select rid, doc_id, i, w[i:i + 12] win from (select *, unnest(range(1, len(w) - 11)) i from d where len(w) >= 13)
+), least as (select win, min(doc_id) m from win group by win
+), gone as (select distinct rid, unnest(range(i, i + 13)) p from win join least using (win) where doc_id > m
+), word as (select rid, p, w[p] word from (select rid, w, unnest(range(1, len(w) + 1)) p from d)
+), kept as (
+  select rid, count(*) n, string_agg(word, ' ' order by p) s from word anti join gone using (rid, p) group by rid
+)
+select doc_id, cast(len(w) as bigint) n_words, cast(len(w) - coalesce(n, 0) as bigint) n_removed, sha256(coalesce(s, '')) kept_sha256
+from d left join kept using (rid)
+"""
+
+OP10 = r"""
+with recursive d as (
+  select row_number() over () rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents
+), sh as (
+  select distinct rid, w[i:i + 4] s from (select rid, w, unnest(range(1, len(w) - 3)) i from d where len(w) >= 5)
+  union all select rid, w from d where len(w) between 1 and 4
+), n as (select rid, count(*) n from sh group by rid
+), common as (select a.rid a, b.rid b, count(*) c from sh a join sh b on a.s = b.s and a.rid < b.rid group by all
+), half as (select a, b from common join n x on x.rid = a join n y on y.rid = b where 100 * c >= 75 * (x.n + y.n - c)
+), link as (select a, b from half union all select b, a from half
+), reach as (select rid, rid t from d union select r.rid, l.b from reach r join link l on l.a = r.t
+)
+select d.doc_id, coalesce(n.n, 0) n_shingles, min(o.doc_id) component_id
+from d left join n using (rid) join reach r on r.rid = d.rid join d o on o.rid = r.t group by d.rid, d.doc_id, n.n
+"""
+
+
+def op3_sql() -> str:
+    from tideline.llm.license_scan import TEMPLATES, THRESHOLD
+
+    values = ", ".join(f"({i}, '{a}', '{t.replace(chr(39), chr(39) * 2)}')" for i, (a, t) in enumerate(TEMPLATES))
+    words = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    pairs = "list_distinct(case when len(w) > 1 then list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) else w end)"
+    return rf"""
+with t as (select i, license_id, {pairs} q from (select i, license_id, {words.format("t")} w from (values {values}) v(i, license_id, t))
+), d as (select row_number() over () rid, doc_id, coalesce(text, '') text from documents
+), u as (
+  select rid, doc_id, unnest(string_split(text, chr(10))) unit from d
+  union all select rid, doc_id, unit from (select rid, doc_id, unnest(regexp_split_to_array(text, '\n\s*\n')) unit from d) where contains(unit, chr(10))
+), s as (select rid, doc_id, {pairs} p from (select rid, doc_id, {words.format("unit")} w from u) where len(w) between 1 and 1000
+), x as (select rid, doc_id, license_id, 2 * len(list_intersect(p, q)) / (len(p) + len(q)) dice from s, t where len(p) <= 2 * len(q) and len(q) <= 2 * len(p))
+select doc_id, license_id, count(*) n_units, round(max(dice), 6) dice from x where dice >= {THRESHOLD} group by rid, doc_id, license_id
+"""
+
+
+ORACLES = {"op1_topk_search": OP1, "op2_chat_format": OP2, "op3_license_scan": op3_sql(), "op8_substring_dedup": OP8, "op9_decontaminate": OP9, "op10_ngram_join": OP10}
