@@ -3,31 +3,18 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share.  Only a local session may go without one."""
-    conf = spark.sparkContext.getConf()
-    root = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    root = "file://" + tempfile.mkdtemp(prefix="tideline-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+from tideline.scratch import fresh
 
 
 class Scratch:
     """Tables of one operator run in the shared folder; ``drop`` deletes those no longer read."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root, self.n = spark, f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}", 0
+        self.spark, self.root, self.n = spark, fresh(spark, name), 0
 
     def path(self) -> str:
         self.n += 1

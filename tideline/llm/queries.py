@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import chat_format, decontaminate, license_scan, ngram_join, packing, sharding, substring_dedup, topk_search
+from tideline.llm import chat_format, decontaminate, language_id, license_scan, lm_score, ngram_join, packing, sharding, substring_dedup, topk_search
 from tideline.llm.common import read
 
 
@@ -36,6 +36,14 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predict(read(spark, sf_dir, "documents"))
+
+
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(read(spark, sf_dir, "documents"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.report(read(spark, sf_dir, "documents"))
 
@@ -48,4 +56,4 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.report(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_topk_search, op2_chat_format, op3_license_scan, op4_sharding, op5_packing, op8_substring_dedup, op9_decontaminate, op10_ngram_join)}
+QUERIES = {f.__name__: f for f in (op1_topk_search, op2_chat_format, op3_license_scan, op4_sharding, op5_packing, op6_language_id, op7_lm_score, op8_substring_dedup, op9_decontaminate, op10_ngram_join)}

@@ -60,60 +60,82 @@ def _node(splits: list[Split]) -> Column:
     return at(0)
 
 
-def _medians(items: DataFrame, wanted: dict[int, tuple[str, float, float]]) -> dict[int, int]:
-    """node -> cut, so that the given share of the node's bytes (third of the tuple: its bytes) lies below."""
-    span = {n: (0, 1 << BITS, 0.0) for n in wanted}  # from, to, bytes before
+@dataclass
+class Search:
+    """The median of a node: its place lies in [low, high), with ``before`` bytes in front of that."""
+
+    dimension: str
+    target: float
+    total: float
+    low: int = 0
+    high: int = 1 << BITS
+    before: float = 0.0
+
+    def narrow(self, bins: list[tuple[int, int, int]], width: int) -> int | None:
+        """bins (number, bytes, items) of ``width`` places each; the cut, once it is near enough."""
+        at = self.before
+        for b, w, items in sorted(bins):
+            if at + w >= self.target:
+                start = self.low + b * width
+                if width == 1 or items == 1 or w <= EXACT_SHARE * self.total:
+                    return start + width if at + w - self.target < self.target - at else start
+                self.low, self.high, self.before = start, start + width, at
+                return None
+            at += w
+        return self.high
+
+
+def _spread(placed: DataFrame, dimensions: list[str]) -> dict[int, dict[str, list[tuple[int, int, int]]]]:
+    """node -> dimension -> (bin, bytes, items), in one pass over the items."""
+    each = F.explode(F.array(*(F.struct(F.lit(d).alias("d"), F.shiftright(f"p_{d}", BITS - 10).cast("int").alias("bin")) for d in dimensions)))
+    rows = placed.select("node", "w", each.alias("x")).groupBy("node", "x.d", "x.bin").agg(F.sum("w").alias("w"), F.count("*").alias("items")).collect()
+    out: dict[int, dict[str, list[tuple[int, int, int]]]] = {}
+    for r in rows:
+        out.setdefault(r["node"], {}).setdefault(r["d"], []).append((r["bin"], r["w"], r["items"]))
+    return out
+
+
+def _refine(placed: DataFrame, open_: dict[int, Search]) -> dict[int, int]:
+    """Cuts of the nodes whose first bin was too coarse."""
     done: dict[int, int] = {}
-    while span:
-        arms, low, width = None, None, None
-        for n, (lo, hi, _) in span.items():
-            is_n, p = F.col("node") == n, F.col(f"p_{wanted[n][0]}")
-            w = max(1, -(-(hi - lo) // BINS))
-            step = F.when(is_n & (p >= lo) & (p < hi), F.floor((p - lo) / F.lit(w)))
-            arms = step if arms is None else F.coalesce(arms, step)
-        rows = items.withColumn("bin", arms.cast("int")).where("bin is not null").groupBy("node", "bin").agg(F.sum("w").alias("w")).collect()
-        by: dict[int, list[tuple[int, int]]] = {}
-        for r in rows:
-            by.setdefault(r["node"], []).append((r["bin"], r["w"]))
-        for n in list(span):
-            lo, hi, before = span.pop(n)
-            width = max(1, -(-(hi - lo) // BINS))
-            target, total = wanted[n][1] * wanted[n][2], wanted[n][2]
-            at, low = hi, before
-            for b, w in sorted(by.get(n, [])):
-                if low + w >= target:
-                    at = lo + b * width
-                    if width == 1 or w <= EXACT_SHARE * total:
-                        done[n] = at + width if low + w - target < target - low else at
-                    else:
-                        span[n] = (at, at + width, low)
-                    break
-                low += w
-            else:
-                done[n] = at
+    while open_:
+        step, widths = None, {}
+        for n, s in open_.items():
+            widths[n] = max(1, -(-(s.high - s.low) // BINS))
+            p = F.col(f"p_{s.dimension}")
+            own = F.when((F.col("node") == n) & (p >= s.low) & (p < s.high), F.floor((p - s.low) / F.lit(widths[n])))
+            step = own if step is None else F.coalesce(step, own)
+        rows = placed.withColumn("bin", step.cast("int")).where("bin is not null").groupBy("node", "bin").agg(F.sum("w").alias("w"), F.count("*").alias("items")).collect()
+        for n in list(open_):
+            cut = open_[n].narrow([(r["bin"], r["w"], r["items"]) for r in rows if r["node"] == n], widths[n])
+            if cut is not None:
+                done[n] = cut
+                del open_[n]
     return done
 
 
 def build(items: DataFrame, dimensions: list[str], shards: int) -> tuple[list[Split], dict[int, int]]:
-    """items (g, piece, w, p_<dimension>...) -> splits, and shard of each leaf."""
+    """items (g, piece, w, p_<dimension>...) -> splits, and shard of each leaf.
+
+    A level of the tree takes one pass for all nodes and dimensions, and one or two more where bins are too coarse."""
     splits, leaves, free = [], {0: shards}, 1
     while any(s > 1 for s in leaves.values()):
         placed = items.withColumn("node", _node(splits)).where(F.col("node").isin([n for n, s in leaves.items() if s > 1]))
-        ends = [f(f"p_{d}").alias(f"{a}_{d}") for d in dimensions for a, f in (("lo", F.min), ("hi", F.max))]
-        stats = {r["node"]: r for r in placed.groupBy("node").agg(F.sum("w").alias("w"), *ends).collect()}
-        wanted = {}
-        for n, s in leaves.items():
-            if s > 1 and n in stats:
-                r = stats[n]
-                widest = max(dimensions, key=lambda d: r[f"hi_{d}"] - r[f"lo_{d}"])
-                wanted[n] = (widest, (s // 2) / s, float(r["w"]))
-        cuts = _medians(placed, wanted) if wanted else {}
+        searches, cuts = {}, {}
+        for n, by in _spread(placed, dimensions).items():
+            widest = max(dimensions, key=lambda d: max(b for b, *_ in by[d]) - min(b for b, *_ in by[d]))
+            total = float(sum(w for _, w, _ in by[widest]))
+            searches[n] = Search(widest, total * (leaves[n] // 2) / leaves[n], total)
+            cut = searches[n].narrow(by[widest], 1 << (BITS - 10))
+            if cut is not None:
+                cuts[n] = cut
+        cuts |= _refine(placed, {n: s for n, s in searches.items() if n not in cuts})
         after = {}
         for n, s in leaves.items():
             if s == 1:
                 after[n] = 1
                 continue
-            splits.append(Split(n, wanted[n][0] if n in wanted else dimensions[0], cuts.get(n, 0), free, free + 1))
+            splits.append(Split(n, searches[n].dimension if n in searches else dimensions[0], cuts.get(n, 0), free, free + 1))
             after[free], after[free + 1] = s // 2, s - s // 2
             free += 2
         leaves = after
