@@ -53,7 +53,7 @@ def test_splitter_matches_regex_across_slices():
 
 def test_top_k(spark):
     r = np.random.default_rng(3)
-    rows = [(i, [float(x) for x in r.normal(size=6) * (1 + i % 5)], 1) for i in range(300)] + [(300, None, 1), (301, [1.0, None, 0, 0, 0, 0], 1), (302, [float("nan")] * 6, 1), (303, [float("inf")] + [0.0] * 5, 1), (400, [0.0] * 6, 1), (500, [1.0, 2.0], 1), (501, [2.0, 1.0], 1), (None, [1.0] * 6, 1)]
+    rows = [(i, [float(x) for x in r.normal(size=6) * (1 + i % 5)], 1) for i in range(300)] + [(300, None, 1), (301, [1.0, None, 0.0, 0.0, 0.0, 0.0], 1), (302, [float("nan")] * 6, 1), (303, [float("inf")] + [0.0] * 5, 1), (400, [0.0] * 6, 1), (500, [1.0, 2.0], 1), (501, [2.0, 1.0], 1), (None, [1.0] * 6, 1)]
     rows += [(7, rows[7][1], 2)]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int")
     got = topk_search.top_k(v, v.where("vec_id % 100 = 0"), k=10).collect()
@@ -88,7 +88,7 @@ CHATS = "conv_id long, turn int, role string, text string, spans string"
 def test_chat_round_trip(spark):
     hard = "\\### Assistant: </turn> ok"
     rows = [(1, 0, "user", hard), (1, 1, "assistant", hard), (2, 1, "assistant", None), (2, 0, None, "#<:\\\\"), (None, 0, "assistant", "a"), (3, 0, "assistant", ""), (3, 0, "assistant", "same"), (3, 0, "assistant", "same"), (4, None, "system", " </turn>\n### x: ")]
-    got = {r["conv_id"]: r for r in chat_format.format_chats(spark.createDataFrame(rows, CHATS)).collect()}
+    got = {r["conv_id"]: r for r in chat_format.format_chats(spark.createDataFrame([(*r, "clash") for r in rows], CHATS)).collect()}
     assert [(r, t) for r, t in chat_format.parse(got[1]["formatted"])] == [("user", hard), ("assistant", hard)]
     assert chat_format.parse(got[2]["formatted"]) == [("", "#<:\\\\"), ("assistant", "")]
     loss = lambda r: [chat_format.unescape(r["formatted"][s["loss_start"] : s["loss_stop"]]) for s in r["spans"]]
@@ -267,7 +267,7 @@ def test_first_fit_decreasing_is_first_fit():
 
 
 def test_sharding(spark):
-    rows = odd_texts() + [(1000 + i, "hot copy " * 20) for i in range(400)] + [(2000 + i, prose(i, 10 + i % 90)) for i in range(800)]
+    rows = [x for x in odd_texts() if len(x[1] or "") < 20_000] + [(1000 + i, "hot copy " * 20) for i in range(400)] + [(2000 + i, prose(i, 10 + i % 90)) for i in range(800)]
     got = sharding.shard(docs(spark, rows), shards=16).collect()
     assert sorted((str(r["doc_id"]), r["size"], r["text_crc32"]) for r in got) == sorted((str(i), len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in rows)
     by = {}
