@@ -130,3 +130,9 @@ def route(events: DataFrame, epochs: DataFrame, frac: str = "frac") -> DataFrame
     ep = epochs.select(F.col("epoch").alias("__e"), "segment_id", "key_start", "key_end")
     in_range = (F.col(frac) <= F.col("key_end")) & ((F.col(frac) > F.col("key_start")) | (F.col("key_start") == 0.0))
     return events.join(ep, (F.col("epoch") == F.col("__e")) & in_range).drop("__e", "key_start", "key_end")
+
+
+def key_fraction(key: str, event_id: str) -> Column:
+    """The fraction of a key; an event without one gets a place at random, but the same one in every attempt."""
+    spread = F.pmod(F.xxhash64(event_id), F.lit(1 << 52)).cast("double") / F.lit(float(1 << 52))
+    return F.coalesce(fraction(F.col(key).cast("string")), spread)

@@ -59,3 +59,20 @@ def start_times(done: DataFrame, links: DataFrame) -> DataFrame:
     """successor, ready_at: when all its predecessors were read to the end (null: not yet); done (segment_id, done_at)."""
     j = links.join(done, "segment_id", "left")
     return j.groupBy("successor").agg(F.when(F.bool_and(F.col("done_at").isNotNull()), F.max("done_at")).alias("ready_at"))
+
+
+def segment_to_release(assigned: DataFrame) -> DataFrame:
+    """reader, segment_id: of a reader's segments that of greatest hash, seeded by the reader, so readers differ in choice."""
+    return assigned.where("reader is not null").groupBy("reader").agg(F.max_by("segment_id", F.struct(F.xxhash64("reader", "segment_id"), "segment_id")).alias("segment_id"))
+
+
+def restart(log: DataFrame, positions: DataFrame) -> DataFrame:
+    """What a group reads after a reset to a cut (segment_id, offset): events at or after it in its segments."""
+    at = positions.select(F.col("segment_id"), F.col("offset").alias("__from"))
+    return log.join(F.broadcast(at), "segment_id").where(F.col("offset") >= F.col("__from")).drop("__from")
+
+
+def offline_positions(assigned: DataFrame, reported: DataFrame) -> DataFrame:
+    """Where a dead reader's segments go on: its last reported offset, else the one they were assigned at."""
+    r = reported.select("reader", "segment_id", F.col("offset").alias("__o"))
+    return assigned.join(r, ["reader", "segment_id"], "left").select("segment_id", F.coalesce("__o", "offset").alias("offset"))

@@ -477,3 +477,56 @@ def streams_by_tag(spark, d):
         one = by_tag(tagged(streams), t).agg(F.lit(t).alias("tags"), F.count("*").alias("n"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+@query("with " + EVENTS + """, p as (select segment_id, max("offset") - 200 o from lg group by segment_id) select event_id, lg.segment_id from lg join p using (segment_id) where "offset" >= o""")
+def reset_to_cut(spark, d):
+    log = events_log(spark, d)
+    at = log.groupBy("segment_id").agg((F.max("offset") - 200).alias("offset"))
+    return G.restart(log, at).select("event_id", "segment_id")
+
+
+@query("""with a as (select 'r' || cast(user_id % 3 as varchar) reader, user_id segment_id, min(event_id) "offset" from events group by all), r as (select 'r' || cast(user_id % 3 as varchar) reader, user_id segment_id, max(event_id) o from events where user_id % 2 = 0 group by all)
+select segment_id, coalesce(o, "offset") "offset" from a left join r using (reader, segment_id)""")
+def reader_offline(spark, d):
+    e = read(spark, d, "events").withColumn("reader", F.concat(F.lit("r"), (F.col("user_id") % 3).cast("string")))
+    a = e.groupBy("reader", F.col("user_id").alias("segment_id")).agg(F.min("event_id").alias("offset"))
+    r = e.where("user_id % 2 = 0").groupBy("reader", F.col("user_id").alias("segment_id")).agg(F.max("event_id").alias("offset"))
+    return G.offline_positions(a, r)
+
+
+@query()
+def release_choice(spark, d):
+    a = read(spark, d, "events").select(F.concat(F.lit("r"), (F.col("user_id") % 3).cast("string")).alias("reader"), F.col("user_id").alias("segment_id")).distinct()
+    return G.segment_to_release(a)
+
+
+@query()
+def route_without_key(spark, d):
+    """Every fifth event has no key: it gets a segment at random, the same one whenever it is computed."""
+    from tideline.functions.hashing import key_fraction, route
+    from tideline.sources.events import epoch_at
+
+    e = read(spark, d, "events").select("event_id", F.when(F.col("event_id") % 5 > 0, F.col("user_id").cast("string")).alias("key"), epoch_at(F.col("ts")).alias("epoch"))
+    return route(e.withColumn("frac", key_fraction("key", "event_id")), model.epochs(spark)).select("event_id", "key", "segment_id")
+
+
+@query("with t as (select distinct user_id, user_id % 256 type from events) select user_id, type, type & 1 = 1 as \"table\", type & 5 = 5 fixed_key_table, type & 16 = 16 internal, type & 48 = 48 \"system\", type & 64 = 64 critical, type & 128 = 128 transient from t")
+def segment_flags(spark, d):
+    from tideline.sources.catalog import with_flags
+
+    return with_flags(read(spark, d, "events").select("user_id", (F.col("user_id") % 256).alias("type")).distinct(), "type")
+
+
+@query("select distinct cast(user_id as varchar) as name from events where cast(user_id as varchar) > '15' order by 1 limit 10")
+def list_page(spark, d):
+    from tideline.sources.catalog import page
+
+    return page(read(spark, d, "events").select(F.col("user_id").cast("string").alias("name")).distinct(), "name", "15", 10)
+
+
+@query("select user_id, event_type, max(value) as value from events where event_type >= 'error' and event_type < 'signup' group by all")
+def attribute_range(spark, d):
+    """Attributes with ids in a range."""
+    top = A.replace_if_greater(read(spark, d, "events"), ["user_id", "event_type"], "value", "event_id").drop("rejected")
+    return top.where((F.col("event_type") >= "error") & (F.col("event_type") < "signup"))

@@ -13,6 +13,14 @@ STATES = {
     "SCALING": ("ACTIVE",), "TRUNCATING": ("ACTIVE",), "COMMITTING_TXN": ("ACTIVE",), "UPDATING": ("ACTIVE",), "SEALING": ("SEALED",), "SEALED": (),
 }
 
+#: Bits of a segment's type; a fixed-key table is a table, a system segment is internal.
+FLAGS = {"table": 0b00000001, "fixed_key_table": 0b00000101, "internal": 0b00010000, "system": 0b00110000, "critical": 0b01000000, "transient": 0b10000000}
+
+
+def with_flags(segments: DataFrame, column: str) -> DataFrame:
+    """Adds a boolean for each flag in a segment's type bits."""
+    return segments.withColumns({name: F.col(column).bitwiseAND(F.lit(bits)) == bits for name, bits in FLAGS.items()})
+
 
 def tagged(streams: DataFrame) -> DataFrame:
     """Streams whose tags are allowed."""
