@@ -97,6 +97,12 @@ def test_chat_round_trip(spark):
     assert chat_format.format_chats(spark.createDataFrame([], CHATS)).count() == 0
 
 
+@pytest.mark.parametrize("template", [chat_format.plain_template, lambda t: "<s>" + chat_format.plain_template(t), lambda t: "".join(f"{k}:{x};" for k, (_, x) in enumerate(t))])
+def test_blocks_find_the_same_spans(template):
+    turns = [(("user", "assistant")[k % 2], f"text {k} #" * (k % 3)) for k in range(41)]
+    assert chat_format.locate(turns, template, 6) == chat_format.locate(turns, template, 1000)
+
+
 def test_rewriting_template_is_told():
     last_first = lambda turns: "|".join(t for _, t in reversed(turns))
     assert chat_format.locate([("user", "a"), ("assistant", "b")], last_first)[2]

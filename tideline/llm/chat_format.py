@@ -9,7 +9,7 @@ The loss mask covers the content of assistant turns.  Within a turn's span the c
 by rendering, too: the span of the same turn with an empty text gives what stands before and behind.
 
 Rows are dealt by conversation and sorted, and stream through the worker: one conversation is in
-memory at a time.  Rendering every prefix costs the template one call per turn.
+memory at a time.  Rendering every prefix is quadratic in the turns, so it is done in blocks (see ``locate``).
 
 Defined cases: null text or role is empty; rows with a null conv_id form one conversation; rows of
 one turn number are ordered by role, then text, and repeated rows are repeated turns; a null turn
@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 Turns = list[tuple[str, str]]
+Span = tuple[str, int, int, int, int]
+BLOCK = 128
 SCHEMA = "conv_id long, n_turns long, formatted string, spans array<struct<role:string,start:long,stop:long,loss_start:long,loss_stop:long>>, rewrites_history boolean"
 #: Escaped in texts and roles, so that no control string of the template can occur there.
 ESCAPES = (("\\", "\\\\"), ("<", "\\l"), ("#", "\\h"), (":", "\\c"))
@@ -66,26 +68,46 @@ def parse(formatted: str) -> Turns:
     return out
 
 
-def locate(turns: Turns, template: Callable[[Turns], str]) -> tuple[str, list[tuple[str, int, int, int, int]], bool]:
-    """(whole output, (role, start, stop, content start, content stop) per turn, rewrites history)."""
-    before, spans = "", []
+def _steps(context: Turns, turns: Turns, template: Callable[[Turns], str]) -> tuple[str, list[Span]] | None:
+    """What ``turns`` add to the render of ``context``, and their spans in that; None if one of them rewrites it."""
+    base = before = template(context) if context else ""
+    spans = []
     for k, (role, text) in enumerate(turns):
-        now = template(turns[: k + 1])
+        now = template([*context, *turns[: k + 1]])
         if not now.startswith(before):
-            return template(turns), [], True
-        empty = template([*turns[:k], (role, "")])
-        start, stop = len(before), len(now)
+            return None
+        empty = template([*context, *turns[:k], (role, "")])
+        start, stop = len(before) - len(base), len(now) - len(base)
         inner = (start, start)
         if text and empty.startswith(before):
-            own, bare = now[start:], empty[start:]
+            own, bare = now[len(before) :], empty[len(before) :]
             same = next((i for i, (a, b) in enumerate(zip(own, bare, strict=False)) if a != b), min(len(own), len(bare)))
             head = min(same, len(bare))
+            # the longest head that still leaves the bare tail at the end
             while head and not own.endswith(bare[head:]):
                 head -= 1
-            # the longest head that still leaves the bare tail at the end
             inner = (start + head, stop - (len(bare) - head))
         spans.append((role, start, stop, *inner))
         before = now
+    return before[len(base) :], spans
+
+
+def locate(turns: Turns, template: Callable[[Turns], str], block: int = BLOCK) -> tuple[str, list[Span], bool]:
+    """(whole output, (role, start, stop, content start, content stop) per turn, rewrites history).
+
+    Behind the first ``block`` turns, a block's turns are rendered after the one turn before them, and the result is held against
+    the render of the whole prefix at the block's end; where it differs, the block is done over with whole prefixes."""
+    before, spans = "", []
+    for s in range(0, len(turns), block):
+        part = turns[s : s + block]
+        whole = template(turns[: s + len(part)])
+        got = _steps(turns[max(0, s - 1) : s], part, template)
+        if s and (got is None or before + got[0] != whole):
+            got = _steps(turns[:s], part, template)
+        if got is None or before + got[0] != whole:
+            return template(turns), [], True
+        spans += [(role, *(len(before) + x for x in at)) for role, *at in got[1]]
+        before = whole
     return before, spans, False
 
 

@@ -6,8 +6,9 @@ by language.  Transitions between the languages of neighbouring words are learne
 spans of different languages, so that code-switched text is labelled word by word.  Forward-backward gives each
 word's probabilities; a text's language is the one with most of their sum, its share the score.
 
-The model is fitted on the driver to at most ``SAMPLE`` labelled texts a language (those of least hash of the id), of
-which each gives at most ``SPANS`` spans drawn over its whole length; prediction covers every word of every text.
+The model is fitted on the driver to about ``SAMPLE`` labelled texts a language, drawn by hash of the id (never over twice
+as many in all), of which each gives at most ``SPANS`` spans drawn over its whole length; prediction covers every word of
+every text.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; without any labelled row all are; ties
 go to the first language by name; repeated rows are judged one by one; other columns are carried along.
@@ -19,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.textkernel import Splitter, mix, string_buffer
@@ -214,15 +215,14 @@ class Labeller:
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """A model of ``lang`` by ``text``; ``docs`` are the rows to learn from."""
-    rows = docs.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("doc_id").alias("h"))
-    order = Window.partitionBy("lang").orderBy("h")
-    least = rows.select("lang", "h").withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample)
-    bounds = {r["lang"]: r["top"] for r in least.groupBy("lang").agg(F.max("h").alias("top")).collect()}
-    if not bounds:
+    rows = docs.where("lang is not null and text is not null").select("lang", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)).alias("h"))
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    if not counts:
         return None
-    table = F.create_map(*(F.lit(x) for kv in bounds.items() for x in kv))
-    # rows of one id share a hash: the sort and the limit hold the bound, whatever repeats
-    got = rows.where(F.col("h") <= F.element_at(table, F.col("lang"))).orderBy("h", "lang", "text").limit(sample * len(bounds)).toArrow()
+    bounds = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1 << 32, (sample << 32) // n + 1))))
+    # rows of one id share a hash: the limit holds the bound, whatever repeats
+    near = rows.where(F.col("h") < F.element_at(bounds, F.col("lang")))
+    got = near.orderBy("h", "lang", "text").limit(2 * sample * len(counts)).toArrow()
     return fit(got.column("text").to_pylist(), got.column("lang").to_pylist())
 
 
