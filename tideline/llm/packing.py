@@ -14,7 +14,9 @@ a null doc_id stays null; an empty table gives no rows; other columns aren't rea
 
 from __future__ import annotations
 
+import os
 import zlib
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +27,10 @@ from tideline.llm.textkernel import SPACES, Splitter, string_buffer
 
 LENGTH, END = 4096, 2
 GROUP_ROWS = 8192
-CACHE_WORDS = 400_000
-BLOCK_DOCS = 256
+CACHE_WORDS = 500_000
+BLOCK_DOCS = 512
+#: Stands between words that are encoded together; a control character, so hardly ever part of one.
+MARK = "\x01"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -37,13 +41,17 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class WordEncoder:
-    """ids of texts, by distinct word."""
+    """ids of texts, by distinct word.  The tokenizer lower-cases, so words that differ in case count as one,
+    except in blocks where a special token's string may stand."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, fold: bool = True):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.splitter = Splitter(SPACES, fold=False)
+        self.path, self.tokenizer = path, Tokenizer.from_file(path)
+        self.splitter = Splitter(SPACES, fold=fold)
+        self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.exact = None if fold else self
         self._clear()
 
     def _clear(self) -> None:
@@ -51,25 +59,46 @@ class WordEncoder:
         self.start, self.size = np.empty(0, np.int64), np.empty(0, np.int64)
         self.flat = np.empty(0, np.uint32)
 
+    def _encode_words(self, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the words one behind the other, how many each has).
+
+        They are encoded as one text with a mark of one known id after each, and told apart by it."""
+        gap = f" {MARK} ".encode()
+        size = e - s
+        to = np.cumsum(size + len(gap)) - (size + len(gap))
+        text = np.empty(int(size.sum()) + len(gap) * len(s), np.uint8)
+        at = (to + size)[:, None] + np.arange(len(gap))
+        text[at] = np.frombuffer(gap, np.uint8)
+        before = np.cumsum(size) - size
+        text[np.repeat(to - before, size) + np.arange(int(size.sum()))] = data[np.repeat(s - before, size) + np.arange(int(size.sum()))]
+        ids = np.array(self.tokenizer.encode_batch_fast([text.tobytes().decode()], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(ids == self.mark[0])
+        if len(ends) != len(s):  # a word that has the mark itself: one by one
+            each = [self.tokenizer.encode(bytes(data[a:b]).decode(), add_special_tokens=False).ids for a, b in zip(s.tolist(), e.tolist(), strict=True)]
+            return np.array([i for x in each for i in x], np.uint32), np.array([len(x) for x in each], np.int64)
+        return np.delete(ids, ends), np.diff(ends, prepend=-1) - 1
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with ``END`` behind it; where each text's begin)."""
+        if self.exact is not self and b"<|" in data.tobytes():
+            self.exact = self.exact or WordEncoder(self.path, fold=False)
+            return self.exact.encode(data, offsets)
         h, s, e, first = self.splitter.words(data, offsets)
         unique, at, inverse = np.unique(h, return_index=True, return_inverse=True)
         if len(self.slot) > CACHE_WORDS:
             self._clear()
         names = unique.tolist()
-        new = [k for k, x in enumerate(names) if x not in self.slot]
-        if new:
-            raw = data.tobytes() if len(data) < 1 << 22 else data
-            texts = [bytes(raw[s[i] : e[i]]).decode() for i in at[new].tolist()]
-            found = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            sizes = np.array([len(x) for x in found], np.int64)
+        slot = np.fromiter(map(self.slot.get, names, repeat(-1)), np.int64, len(names))
+        new = np.flatnonzero(slot < 0)
+        if len(new):
+            ids, sizes = self._encode_words(data, s[at[new]], e[at[new]])
             base = len(self.start)
             self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(sizes) - sizes])
             self.size = np.concatenate([self.size, sizes])
-            self.flat = np.concatenate([self.flat, np.array([i for x in found for i in x], np.uint32)])
-            self.slot.update((names[k], base + j) for j, k in enumerate(new))
-        slot = np.array([self.slot[x] for x in names], np.int64)[inverse] if names else np.empty(0, np.int64)
+            self.flat = np.concatenate([self.flat, ids])
+            slot[new] = base + np.arange(len(new))
+            self.slot.update(zip(unique[new].tolist(), slot[new].tolist(), strict=True))
+        slot = slot[inverse]
         size = self.size[slot]
         before = np.concatenate([[0], np.cumsum(size)])
         begin = before[first] + np.arange(len(first))
@@ -134,7 +163,7 @@ class Bins:
 
 def first_fit_decreasing(sizes: list[int], length: int) -> list[tuple[int, int]]:
     """(bin, offset) of each piece; sizes are in falling order."""
-    bins, out, full = Bins(max(1, len(sizes)), length), [], 0
+    bins, out = Bins(max(1, len(sizes)), length), []
     for size in sizes:
         number, room = bins.place(size)
         out.append((number, length - room))
