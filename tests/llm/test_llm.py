@@ -348,6 +348,7 @@ def test_lm_probabilities_sum_to_one():
     model.classes += np.random.default_rng(1).normal(size=model.classes.shape).astype(np.float32)
     model.members += np.random.default_rng(2).normal(size=model.members.shape).astype(np.float32)
     rows = np.repeat(lm_score.histories(np.array([7, 9], np.uint64), np.array([0, 2]))[:, 1:], 2049, 1)
-    classes, _, some, k, _, members = lm_score._scores(model, rows, np.append(np.arange(2048), -1))
-    total = np.exp(classes[some, k] + members[np.arange(2048), np.arange(2048) % 64]).sum() + np.exp(classes[-1, -1])
+    classes, _, some, k, _, members = lm_score.scores(model, rows, np.append(np.arange(2048), -1))
+    inside = lm_score.log_share(classes[some], k) + lm_score.log_share(members, np.arange(2048) % 64)
+    total = np.exp(inside).sum() + np.exp(lm_score.log_share(classes[-1:], np.array([32])))[0]
     assert abs(total - 1) < 1e-3
