@@ -3,7 +3,7 @@
 Equal sets are one class.  Classes are routed to trees by prefix filtering: two sets that link share one of
 the rarest shingles of each (a quarter of the set), so every shingle that is among the rarest of two
 or more classes is a tree, and trees over the same classes are one tree.  In a tree a class is a point
-of counts: its shingles, hashed into ``GROUPS`` groups, counted by group.  The summed coordinate minima of two
+of counts: its shingles, hashed into groups - about half as many as it has shingles - counted by group.  The summed coordinate minima of two
 points bound their overlap; of a point and a node's upper corner, the overlap with anything below the
 node.  Pairs that no bound excludes are verified on their whole sets.
 
@@ -24,7 +24,7 @@ import struct
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.llm.common import Scratch, buckets_for, text_bytes
@@ -33,13 +33,13 @@ from tideline.llm.substring_dedup import ENTRY, _planes, _rows, _unplanes
 from tideline.llm.textkernel import SPACES, Splitter, mix, string_buffer, windows
 
 SHINGLE = 5
-GROUPS = 64
+GROUPS, MOST_GROUPS, FULL = 64, 4096, 65535
 BUCKET_BYTES = 8 << 20
 CHUNK_SHINGLES = 1 << 20
 MASK40 = np.uint64((1 << 40) - 1)
 BLOCK = 2048
 LEAF = 16
-LIKELIEST = 8
+LIKELIEST = 2
 
 
 def needed(a, b):
@@ -167,16 +167,46 @@ def _prefixes(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(ids), pa.array(n), pa.array(keys), lists], schema=PREFIX)
 
 
+def width(n: np.ndarray) -> np.ndarray:
+    """Groups for sets of ``n`` shingles: a power of two near n / 2, so that a group has few shingles at any size."""
+    return np.clip(1 << np.ceil(np.log2(np.maximum(n, 2) / 2)).astype(np.int64), GROUPS, MOST_GROUPS)
+
+
+def point(s: np.ndarray) -> bytes:
+    """Shingles by group; a count of FULL stands for any greater one."""
+    g = int(width(np.array([len(s)]))[0])
+    return np.minimum(np.bincount((s % np.uint64(g)).astype(np.int64), minlength=g), FULL).astype("<u2").tobytes()
+
+
+def folded(points: list[bytes], g: int) -> np.ndarray:
+    """Points as rows of ``g`` groups: of a point of 2 g groups, halves are added."""
+    out = np.empty((len(points), g), np.int64)
+    for i, p in enumerate(points):
+        v = np.frombuffer(p, "<u2").astype(np.int64)
+        out[i] = np.where(v == FULL, 1 << 40, v).reshape(-1, g).sum(0)
+    return out
+
+
+def low_halves(s: np.ndarray) -> bytes:
+    """The low 32 bits of the shingles, sorted: half the size, and enough to bound an overlap closely from above."""
+    return np.sort(s.astype("<u4")).tobytes()
+
+
+def overlap_bound(a: np.ndarray, b: np.ndarray) -> int:
+    """Shingles of ``a`` whose low halves ``b`` has too."""
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    return int((b[at] == a).sum())
+
+
 def _points(splitter: Splitter):
-    """(doc_id, text) -> key, n, point (group counts), shingles."""
+    """(text) -> key, n, point, low, shingles."""
 
     def run(batches):
         for b in batches:
             data, offsets = string_buffer(b.column(0))
             for lo in range(0, b.num_rows, 256):
                 sets = shingle_sets(splitter, data, offsets[lo : min(b.num_rows, lo + 256) + 1])
-                points = [np.bincount((s % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS).astype("<u4").tobytes() for s in sets]
-                yield pa.RecordBatch.from_arrays([pa.array(set_keys(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(points, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "n", "point", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(set_keys(sets)), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([f(s) for s in sets], pa.binary()) for f in (point, low_halves, np.ndarray.tobytes))], ["key", "n", "point", "low", "shingles"])
 
     return run
 
@@ -229,55 +259,78 @@ def _groups(batches):
         yield pa.Table.from_batches(held)
 
 
-def _vectors(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, GROUPS).astype(np.int64)
-
-
 def _pairs(found) -> pa.RecordBatch:
     a, b = (np.concatenate([x[k] for x in found]) if found else np.empty(0, np.int64) for k in range(2))
-    pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.empty((0, 2), np.int64)
+    pair = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.empty((0, 2), np.int64)
     return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
 
 
 def _to_leader(batches):
-    """(tree, key, n, point), sorted by tree and size: pairs of a class and its tree's first that the bound allows."""
+    """(tree, key, n, point), sorted by tree and key: pairs of a tree's first class and another that the bound allows."""
     tree = None
     for b in batches:
         t, key, n = (b.column(k).to_numpy() for k in range(3))
-        points, found, lo = _vectors(b.column(3)) if b.num_rows else None, [], 0
+        points, found, lo = b.column(3).to_pylist(), [], 0
         while lo < len(t):
             hi = int(np.searchsorted(t, t[lo], "right"))
             if t[lo] != tree:
                 tree, leader = t[lo], (key[lo], n[lo], points[lo])
-            bound = np.minimum(points[lo:hi], leader[2]).sum(1)
-            ok = (bound >= needed(n[lo:hi], leader[1])) & (key[lo:hi] != leader[0])
-            found.append((np.full(ok.sum(), leader[0]), key[lo:hi][ok]))
+            near = lo + np.flatnonzero((4 * n[lo:hi] >= 3 * leader[1]) & (3 * n[lo:hi] <= 4 * leader[1]) & (key[lo:hi] != leader[0]))
+            for g in np.unique(np.minimum(width(n[near]), width(leader[1]))):
+                at = near[np.minimum(width(n[near]), width(leader[1])) == g]
+                bound = np.minimum(folded([points[i] for i in at], g), folded([leader[2]], g)).sum(1)
+                at = at[bound >= needed(n[at], leader[1])]
+                found.append((np.full(len(at), leader[0]), key[at]))
             lo = hi
         yield _pairs(found)
 
 
 def _across(limit: int | None):
-    """(cell, key, n, point, label, side): pairs of different components; of blocks, pairs across sides only."""
+    """(cell, key, n, low, label, side): pairs of different components; of blocks, pairs across sides only.
+
+    Links keep sizes within 4 : 3, so a class is searched among points of its own number of groups and the next, folded.
+    Pairs that the points allow are bound once more by their low halves, so what is emitted is links but for chance."""
+
+    def search(key, n, low, label, side):
+        own = width(n)
+        # of two components' members one isn't of the largest, so only those others search
+        _, which, many = np.unique(label, return_inverse=True, return_counts=True)
+        main = which == many.argmax()
+        for g in np.unique(own):
+            sel = np.flatnonzero((own == g) | (own == 2 * g))
+            if main[sel].all() or len(sel) < 2:
+                continue
+            lower = own[sel] == g
+            x = np.stack([np.bincount(low[i] & np.uint32(g - 1), minlength=g) for i in sel])
+            tree = Tree(n[sel], x)
+            for i in np.flatnonzero(~main[sel]):
+                at, bound = tree.search(int(n[sel[i]]), x[i])
+                to, me = sel[at], sel[i]
+                ok = (label[to] != label[me]) & (lower[at] | lower[i])
+                if side[me] >= 0:
+                    ok &= side[to] != side[me]
+                if limit is None:
+                    ok &= main[to] | (key[to] > key[me])
+                to = to[ok][np.argsort(-bound[ok] / (n[to[ok]] + n[me]), kind="stable")]
+                good = []
+                for j in to:
+                    if overlap_bound(low[me], low[j]) >= needed(int(n[me]), int(n[j])):
+                        good.append(j)
+                        if len(good) == limit:
+                            break
+                yield np.minimum(key[me], key[good]), np.maximum(key[me], key[good])
 
     def run(batches):
         found, size = [], 0
-        for g in _groups(batches):
-            key, n, label, side = (g.column(k).to_numpy() for k in (1, 2, 4, 5))
+        for t in _groups(batches):
+            key, n, label, side = (t.column(k).to_numpy() for k in (1, 2, 4, 5))
             if len(key) < 2 or (label == label[0]).all():
                 continue
-            points = _vectors(g.column(3))
-            tree = Tree(n, points)
-            for i in range(len(key)):
-                at, bound = tree.search(int(n[i]), points[i])
-                ok = (label[at] != label[i]) & ((side[at] != side[i]) if side[i] >= 0 else True)
-                if limit is None:
-                    ok = ok & (key[at] > key[i])
-                at, bound = at[ok], bound[ok]
-                if limit is not None and len(at) > limit:
-                    at = at[np.argsort(-bound / (n[at] + n[i]), kind="stable")[:limit]]
-                found.append((np.full(len(at), key[i]), key[at]))
-                size += len(at)
-            if size > 100_000:
+            low = [np.frombuffer(x, "<u4") for x in t.column(3).to_pylist()]
+            new = [x for x in search(key, n, low, label, side) if len(x[0])]
+            found += new
+            size += sum(len(x[0]) for x in new)
+            if size > 200_000:
                 yield _pairs(found)
                 found, size = [], 0
         yield _pairs(found)
@@ -306,12 +359,12 @@ def _cells(members: DataFrame) -> DataFrame:
     """(tree, key, ..., label) -> cells: small trees whole, large ones as pairs of blocks of ``BLOCK``."""
     live = members.groupBy("tree").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
     m = members.join(live.select("tree", "size"), "tree").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    small = m.where("blocks = 1").select(F.xxhash64("tree").alias("cell"), "key", "n", "point", "label", F.lit(-1).alias("side"))
+    small = m.where("blocks = 1").select(F.xxhash64("tree").alias("cell"), "key", "n", "label", F.lit(-1).alias("side"))
     large = m.where("blocks > 1").withColumn("mine", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     lo, hi = F.least("mine", "other"), F.greatest("mine", "other")
     side = F.when(F.col("mine") == F.col("other"), F.lit(-1)).otherwise(F.col("mine"))
-    large = large.select(F.xxhash64("tree", lo, hi).alias("cell"), "key", "n", "point", "label", side.alias("side"))
+    large = large.select(F.xxhash64("tree", lo, hi).alias("cell"), "key", "n", "label", side.alias("side"))
     return small.unionByName(large)
 
 
@@ -326,6 +379,7 @@ def jaccard_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     spread = parts.withColumn("to", F.when(F.col("kind") == 0, -1 - F.col("bucket")).otherwise(F.col("bucket")))
     shared = spread.groupBy("to").applyInArrow(lambda t: _shared(t.select(["kind", "bucket", "body"])), ENTRY)
     rows = scratch.save(shared.groupBy("bucket").applyInArrow(_prefixes, "doc_id long, n long, key long, tokens array<long>"))
+    scratch.release()
 
     posts = rows.where("size(tokens) > 0").select("key", "n", F.explode("tokens").alias("token")).distinct()
     posts = scratch.save(posts)
@@ -335,18 +389,26 @@ def jaccard_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     wanted = members.select("key").distinct()
     homes = rows.join(wanted, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    found = docs.join(homes.select("doc_id").distinct(), "doc_id", "left_semi").select("text").mapInArrow(_points(splitter), "key long, n long, point binary, shingles binary")
+    found = docs.join(homes.select("doc_id").distinct(), "doc_id", "left_semi").select("text").mapInArrow(_points(splitter), "key long, n long, point binary, low binary, shingles binary")
     points = scratch.save(found.join(wanted, "key", "left_semi").dropDuplicates(["key"]))
-    members = scratch.save(members.join(points.select("key", "point"), "key"))
 
-    by_tree = members.select("tree", "key", "n", "point").repartition("tree").sortWithinPartitions("tree", "n", "key")
-    links = scratch.save(_links(by_tree.mapInArrow(_to_leader, PAIRS), points))
+    by_tree = members.join(points.select("key", "point"), "key").select("tree", "key", "n", "point").repartition("tree").sortWithinPartitions("tree", "key")
+    # a class tries one leader only; its other trees' leaders are met in the later rounds if that fails
+    led = by_tree.mapInArrow(_to_leader, PAIRS).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = scratch.save(_links(led, points))
     labels = scratch.save(components(links, scratch))
     for limit in (LIKELIEST, None):
-        now = members.join(labels, "key", "left").select("tree", "key", "n", "point", F.coalesce("label", "key").alias("label"))
-        cells = _cells(now).select("cell", "key", "n", "point", "label", "side").repartition("cell").sortWithinPartitions("cell")
-        links = scratch.save(links.unionByName(_links(cells.mapInArrow(_across(limit), PAIRS), points)))
-        labels = scratch.save(components(links, scratch))
+        scratch.release()
+        now = members.join(labels, "key", "left").select("tree", "key", "n", F.coalesce("label", "key").alias("label"))
+        cells = _cells(now).join(points.select("key", "low"), "key").select("cell", "key", "n", "low", "label", "side").repartition("cell").sortWithinPartitions("cell")
+        links = scratch.save(_links(cells.mapInArrow(_across(limit), PAIRS), points))
+        if links.isEmpty():
+            if limit is None:
+                break
+            continue
+        # labels are links, too: of a class to the least of its component
+        known = labels.select(F.col("key").alias("a"), F.col("label").alias("b"))
+        labels = scratch.save(components(known.unionByName(links), scratch))
     scratch.drop(posts, members, points)
     return rows.select("doc_id", "n", "key"), labels
 
@@ -374,8 +436,11 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component stays, that of the least doc_id; so do rows without a doc_id.  Of repeated rows of an id one stays."""
-    own = docs.columns
-    stay = report(docs.select("doc_id", "text")).where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    named = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.join(stay, F.col("doc_id").cast("long") == F.col("__id"), "left_semi").select(*own).unionByName(docs.where("doc_id is null"))
+    """One document of each component stays, that of the least doc_id; so do rows without a doc_id.
+
+    Of repeated rows of an id the first by text stays."""
+    own, kind = docs.columns, docs.schema["doc_id"].dataType
+    stay = report(docs.select("doc_id", "text")).where("doc_id = component_id").select(F.col("doc_id").cast(kind).alias("doc_id")).distinct()
+    # the window finds its rows dealt by doc_id already
+    kept = docs.join(stay, "doc_id", "left_semi").withColumn("__k", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
+    return kept.where("__k = 1").select(*own).unionByName(docs.where("doc_id is null"))
