@@ -8,6 +8,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tideline import model
 from tideline.operators import cuts as C
+from tideline.sources.events import prefix_sum
 
 UNBOUNDED = None
 
@@ -55,8 +56,8 @@ def stream_info(log: DataFrame, segments: DataFrame) -> DataFrame:
 
 def round_robin(log: DataFrame) -> DataFrame:
     """Adds place, the order in which one reader takes turns over its segments."""
-    turn = F.row_number().over(Window.partitionBy("segment_id").orderBy("offset"))
-    ranked = log.withColumn("turn", turn)
+    # in buckets of offsets, so that a hot segment isn't one task's window
+    ranked = prefix_sum(log.withColumn("__one", F.lit(1)), ["segment_id"], "offset", "__one", "turn").drop("__one").withColumn("turn", F.col("turn") + 1)
     counts = ranked.groupBy("turn").agg(F.count("*").alias("n"))
     # places of earlier turns: a turn has as many events as segments reach it
     before = counts.withColumn("b", F.floor(F.col("turn") / 4096))
