@@ -7,6 +7,9 @@ from test_queries import ALL, SQL, cell
 MORE = "/root/testdata/sf0.01"
 LIFTED = {
     "round_robin_read": " where event_id < 2000",
+    "txn_status": " where event_id < 900",
+    "txn_illegal": " where event_id < 900",
+    "large_event_round_trip": " where event_id < 500",
 }
 
 

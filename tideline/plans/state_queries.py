@@ -86,7 +86,7 @@ def large_event_round_trip(spark, d):
     """Events cut into slices of 4 bytes and put together again."""
     from tideline.sources.sinks import reassemble, slices
 
-    e = read(spark, d, "events").where("event_id < 500").select("event_id", F.col("props").cast("binary").alias("payload"))
+    e = read(spark, d, "events").select("event_id", F.col("props").cast("binary").alias("payload"))
     back = reassemble(slices(e, "event_id", "payload", 4), "event_id", "payload")
     return back.select("event_id", F.octet_length("payload").alias("n_bytes"), F.col("payload").cast("string").alias("props"))
 
@@ -382,7 +382,7 @@ def txn_status(spark, d):
 
 def _changes(spark, d):
     s = F.element_at(F.array(*map(F.lit, ("OPEN", "COMMITTING", "COMMITTED", "ABORTING"))), ((F.col("event_id") / 100).cast("int") % 4 + 1).cast("int"))
-    return read(spark, d, "events").where("event_id < 900").select((F.col("event_id") % 100).alias("txn_id"), F.col("event_id").alias("seq"), s.alias("status"))
+    return read(spark, d, "events").select((F.col("event_id") % 100).alias("txn_id"), F.col("event_id").alias("seq"), s.alias("status"))
 
 
 @query("""with c as (select event_id % 100 txn_id, event_id seq, ['OPEN', 'COMMITTING', 'COMMITTED', 'ABORTING'][cast(trunc(event_id / 100) as integer) % 4 + 1] status from events where event_id < 900),
