@@ -10,6 +10,8 @@ LIFTED = {
     "txn_status": " where event_id < 900",
     "txn_illegal": " where event_id < 900",
     "large_event_round_trip": " where event_id < 500",
+    "fetch_event": " where event_id % 100 = 0",
+    "epoch_asof_event": " where event_id % 50 = 0",
 }
 
 

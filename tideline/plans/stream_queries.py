@@ -57,7 +57,7 @@ def batch_read_between_cuts(spark, d):
 @query("with " + EVENTS + 'select segment_id, "offset", event_id, props from lg where event_id % 100 = 0')
 def fetch_event(spark, d):
     log = events_log(spark, d)
-    pointers = log.where("event_id % 100 = 0").select("segment_id", "offset")
+    pointers = log.select("segment_id", "offset")
     return batch.fetch(log, pointers).select("segment_id", "offset", "event_id", "props")
 
 
@@ -217,8 +217,8 @@ def replace_range(spark, d):
 def epoch_asof_event(spark, d):
     from tideline.sources.events import epoch_at, read
 
-    at = read(spark, d, "events").where("event_id % 50 = 0").select("event_id", epoch_at(F.col("ts")).alias("epoch"))
-    return at.join(at.groupBy("epoch").agg(F.count("*").alias("n")), "epoch").select("event_id", "epoch", "n")
+    at = read(spark, d, "events").select("event_id", epoch_at(F.col("ts")).alias("epoch"))
+    return at.join(F.broadcast(at.groupBy("epoch").agg(F.count("*").alias("n"))), "epoch").select("event_id", "epoch", "n")
 
 
 @query("with " + EVENTS + """, a as (select epoch, list(segment_id) s from ep group by epoch)
