@@ -134,6 +134,31 @@ def test_license_scan(spark):
     assert got[(2, "MIT")]["dice"] == 1.0 and got[(2, "MIT")]["n_units"] >= 2 and (None, "CC-BY-NC-4.0") in got and not any(k[0] in (3, 4, 5) for k in got)
 
 
+def best_window(text, template, threshold=0.8):
+    pairs = lambda x: list(zip(w := re.findall("[a-z0-9]+", x.lower()), w[1:], strict=False))
+    words, goal = pairs(text), set(pairs(template))
+    found = [2 * len(goal & set(words[i:j])) / (len(goal) + len(set(words[i:j]))) for i in range(len(words)) for j in range(i + 1, len(words) + 1)]
+    return round(max(found), 6) if found and max(found) >= threshold else None
+
+
+def test_license_inside_longer_texts(spark):
+    mit, gpl = (next(t for a, t in license_scan.TEMPLATES if a == k and len(t) > 200) for k in ("MIT", "GPL-3.0"))
+    wrapped = "/*\n * " + " ".join(f"{w}\n *" if k % 9 == 8 else w for k, w in enumerate(gpl.split())) + f"\n */\n{prose(6)}"
+    short = "released under the mit license"
+    rows = [(1, f"{prose(1)} Copyright (c) 2020 A. {mit} The above copyright notice shall be included. {prose(2)}"), (2, wrapped), (3, f"{prose(3)} {short} {prose(4)} {short} {prose(5, 2000)}"), (4, " ".join([short] * 400))]
+    for k in range(40):
+        r = random.Random(k)
+        rows.append((10 + k, " ".join(x for w in short.split() * 4 for x in r.choices(([w], [], [w, "a"], [w, w]), (8, 1, 1, 1))[0])))
+    got = {(r["doc_id"], r["license_id"]): r for r in license_scan.scan(docs(spark, rows)).collect()}
+    assert got[(1, "MIT")]["dice"] == 1.0 and got[(1, "MIT")]["n_units"] == 1 and got[(2, "GPL-3.0")]["dice"] == 1.0
+    assert got[(3, "MIT")]["n_units"] == 2 and got[(4, "MIT")]["dice"] == 0.888889
+    one = [("MIT", short)]
+    got = {r["doc_id"]: r["dice"] for r in license_scan.scan(docs(spark, rows[4:]), one).collect()}
+    whole = lambda t: 2 * len(a & b) / (len(a) + len(b)) if (a := set(zip(t.split(), t.split()[1:], strict=False))) and (b := set(zip(short.split(), short.split()[1:], strict=False))) else 0
+    want = {k: round(whole(t), 6) if whole(t) >= 0.8 else best_window(t, short) for k, t in rows[4:]}
+    assert got == {k: x for k, x in want.items() if x} and len(got) > 5
+
+
 def brute_substring(rows):
     owner, out = {}, []
     key = lambda i: (i is None, i or 0)
