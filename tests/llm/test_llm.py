@@ -97,6 +97,15 @@ def test_chat_round_trip(spark):
     assert chat_format.format_chats(spark.createDataFrame([], CHATS)).count() == 0
 
 
+@pytest.mark.parametrize("text", [" x", " ", "  ", " </turn>\n", "x ", " x ", ": y"])
+def test_loss_mask_of_texts_that_begin_like_the_tail(text):
+    turns = [("user", " a"), ("assistant", text), ("assistant", text)]
+    for template in (chat_format.plain_template, lambda t: "".join(f"[{r}]: {x} : [/{r}]" for r, x in t)):
+        formatted, spans, _ = chat_format.locate(turns, template)
+        got = [formatted[s[3] : s[4]] for s in spans[1:]]
+        assert (list(map(chat_format.unescape, got)) if template is chat_format.plain_template else got) == [text, text]
+
+
 @pytest.mark.parametrize("template", [chat_format.plain_template, lambda t: "<s>" + chat_format.plain_template(t), lambda t: "".join(f"{k}:{x};" for k, (_, x) in enumerate(t))])
 def test_blocks_find_the_same_spans(template):
     turns = [(("user", "assistant")[k % 2], f"text {k} #" * (k % 3)) for k in range(41)]

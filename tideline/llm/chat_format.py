@@ -6,7 +6,8 @@ doesn't start with the one before rewrites history: then spans can't be told, th
 nothing lies under the loss mask.
 
 The loss mask covers the content of assistant turns.  Within a turn's span the content is located
-by rendering, too: the span of the same turn with an empty text gives what stands before and behind.
+by rendering, too: the span of the same turn with an empty text gives what stands before and behind;
+where that leaves it open, one with a text of one character that occurs in neither settles it.
 
 Rows are dealt by conversation and sorted, and stream through the worker: one conversation is in
 memory at a time.  Rendering every prefix is quadratic in the turns, so it is done in blocks (see ``locate``).
@@ -86,6 +87,11 @@ def _steps(context: Turns, turns: Turns, template: Callable[[Turns], str]) -> tu
             # the longest head that still leaves the bare tail at the end
             while head and not own.endswith(bare[head:]):
                 head -= 1
+            if head and own.endswith(bare[head - 1 :]):  # the text begins as what stands behind it: a text that shares nothing with that tells
+                mark = next(c for c in map(chr, range(0xE000, 0xF8FF)) if c not in bare)
+                told = template([*context, *turns[:k], (role, mark)])[len(before) :].find(mark)
+                if 0 <= told < head and own.endswith(bare[told:]):
+                    head = told
             inner = (start + head, stop - (len(bare) - head))
         spans.append((role, start, stop, *inner))
         before = now
