@@ -120,6 +120,12 @@ def test_rewriting_template_is_told():
     assert [text[s[3] : s[4]] for s in spans] == ["aa", "aaa"]
 
 
+def test_rewriting_inside_a_block_is_told():
+    turns = [("user", f"t{k}") for k in range(300)]
+    once = lambda t: ("!" if len(t) == 200 else "") + chat_format.plain_template(t)
+    assert chat_format.locate(turns, once) == (once(turns), [], True)
+
+
 def test_decontaminate(spark):
     item = prose(9, 20)
     bench = spark.createDataFrame([(1, item), (10, item), (2, "tiny item"), (3, None), (4, ""), (5, "x")], "item_id long, text string")

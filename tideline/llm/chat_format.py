@@ -10,7 +10,8 @@ by rendering, too: the span of the same turn with an empty text gives what stand
 where that leaves it open, one with a text of one character that occurs in neither settles it.
 
 Rows are dealt by conversation and sorted, and stream through the worker: one conversation is in
-memory at a time.  Rendering every prefix is quadratic in the turns, so it is done in blocks (see ``locate``).
+memory at a time.  Every prefix is rendered, which is quadratic in the turns.  Only a template that declares
+``turn_local = True``, that is, that renders each turn by itself, is rendered in blocks (see ``locate``).
 
 Defined cases: null text or role is empty; rows with a null conv_id form one conversation; rows of
 one turn number are ordered by role, then text, and repeated rows are repeated turns; a null turn
@@ -60,6 +61,9 @@ def plain_template(turns: Turns) -> str:
     return "".join(f"### {escape(role)}: {escape(text)} </turn>\n" for role, text in turns)
 
 
+plain_template.turn_local = True
+
+
 def parse(formatted: str) -> Turns:
     """The turns of ``plain_template``'s output."""
     out = []
@@ -101,9 +105,11 @@ def _steps(context: Turns, turns: Turns, template: Callable[[Turns], str]) -> tu
 def locate(turns: Turns, template: Callable[[Turns], str], block: int = BLOCK) -> tuple[str, list[Span], bool]:
     """(whole output, (role, start, stop, content start, content stop) per turn, rewrites history).
 
-    Behind the first ``block`` turns, a block's turns are rendered after the one turn before them, and the result is held against
+    With a template that is ``turn_local``, behind the first ``block`` turns, a block's turns are rendered after the one turn before them, and the result is held against
     the render of the whole prefix at the block's end; where it differs, the block is done over with whole prefixes."""
     before, spans = "", []
+    if not getattr(template, "turn_local", False):
+        block = max(1, len(turns))
     for s in range(0, len(turns), block):
         part = turns[s : s + block]
         whole = template(turns[: s + len(part)])
