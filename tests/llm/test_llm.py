@@ -143,6 +143,16 @@ def test_decontaminate(spark):
     assert cut[2] == "a here" and cut[5] == prose(8, 50)
 
 
+def test_benchmark_items_without_an_id(spark):
+    item, other = prose(9, 20), prose(10, 20)
+    bench = spark.createDataFrame([(None, item), (None, item), (7, item), (None, other)], "item_id long, text string")
+    d = docs(spark, [(1, item), (2, other), (3, prose(11))])
+    got = {r["doc_id"]: r for r in decontaminate.report(d, bench).collect()}
+    assert [got[k]["n_hit"] for k in (1, 2, 3)] == [20, 20, 0] and [got[k]["n_items"] for k in (1, 2, 3)] == [2, 1, 0]
+    assert [got[k]["items_sha256"] for k in (1, 2)] == [hashlib.sha256(x).hexdigest() for x in (b"7", b"")]
+    assert [r["doc_id"] for r in decontaminate.decontaminate(d, bench).collect()] == [3]
+
+
 def test_license_scan(spark):
     d = docs(spark, [(1, "x\nReleased under the MIT licence.\ny"), (2, "Released under the MIT License.\nReleased under the MIT License."), (3, None), (4, ""), (5, prose(1)), (None, "licensed under cc by-nc 4.0")])
     got = {(r["doc_id"], r["license_id"]): r for r in license_scan.scan(d).collect()}
@@ -253,6 +263,13 @@ def test_ngram_join(spark, monkeypatch, block):
         assert ngram_join.report(d.limit(0)).count() == 0
 
 
+def test_each_component_of_a_repeated_id_keeps_a_row(spark):
+    a, b, c = prose(60, 80), prose(61, 80), prose(62, 80)
+    rows = [(3, a), (9, a), (9, b), (9, b), (9, c), (10, c), (11, ""), (11, None), (11, prose(63, 80)), (None, b)]
+    kept = [(r["doc_id"], r["text"]) for r in ngram_join.keep_one(docs(spark, rows)).collect()]
+    assert sorted(kept, key=str) == sorted([(3, a), (9, b), (9, c), (11, None), (11, prose(63, 80)), (None, b)], key=str)
+
+
 def test_tree_bounds_lose_nothing():
     r = np.random.default_rng(1)
     points = r.poisson(2, (500, 64))

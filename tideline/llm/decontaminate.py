@@ -7,7 +7,7 @@ shuffles.  A document's word positions probe the set by anchor, the whole window
 word (the verification), and only hits are shuffled, by row.
 
 Defined cases: a null or empty text or item has no words, so no windows and no hits; repeated items
-count by distinct id; repeated document rows are judged one by one; other columns are carried along
+count by distinct id; items without an id hit like others, count as one item, and aren't in the hash of the ids; repeated document rows are judged one by one; other columns are carried along
 whatever their names; an empty table on either side gives no hits.
 """
 
@@ -33,10 +33,10 @@ def _anchor(w: Column, i: Column, n: int) -> Column:
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW, id_col: str = "item_id") -> DataFrame:
-    """Distinct windows: anchor, anchor_words, win (array of words), items (sorted ids as strings)."""
-    items = benchmark.select(F.col(id_col).cast("string").alias("item"), words(F.col("text")).alias("w")).where("size(w) > 0 and item is not null")
+    """Distinct windows: anchor, anchor_words, win (array of words), items (sorted ids as strings, null last)."""
+    items = benchmark.select(F.col(id_col).cast("string").alias("item"), words(F.col("text")).alias("w")).where("size(w) > 0")
     cut = items.select("item", F.explode(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - window, F.lit(0))), lambda i: F.slice("w", i + 1, window))).alias("win"))
-    each = cut.groupBy("win").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    each = cut.groupBy("win").agg(F.array_sort(F.transform(F.collect_set(F.struct("item")), lambda x: x["item"])).alias("items"))
     n = F.least(F.size("win"), F.lit(ANCHOR))
     return each.withColumn("anchor_words", n).withColumn(
         "anchor", F.when(n == 3, _anchor(F.col("win"), F.lit(0), 3)).when(n == 2, _anchor(F.col("win"), F.lit(0), 2)).otherwise(_anchor(F.col("win"), F.lit(0), 1))
@@ -44,7 +44,7 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW, id_col: str = "item
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "item_id") -> DataFrame:
-    """``docs`` with n_words, hit_words (sorted positions of hit words) and hit_items (sorted ids).
+    """``docs`` with n_words, hit_words (sorted positions of hit words) and hit_items (sorted ids, null last).
 
     Names that docs already has are replaced."""
     wins = item_windows(benchmark, window, id_col)

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tideline.llm.common import Scratch, buckets_for, text_bytes
 from tideline.llm.components import components
@@ -438,9 +439,25 @@ def report(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each component stays, that of the least doc_id; so do rows without a doc_id.
 
-    Of repeated rows of an id the first by text stays."""
+    Of a component's repeated rows of that id the first by text stays; an id whose rows are in several components keeps a row of each
+    of which it is the least."""
     own, kind = docs.columns, docs.schema["doc_id"].dataType
-    stay = report(docs.select("doc_id", "text")).where("doc_id = component_id").select(F.col("doc_id").cast(kind).alias("doc_id")).distinct()
-    # the window finds its rows dealt by doc_id already
-    kept = docs.join(stay, "doc_id", "left_semi").withColumn("__k", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
-    return kept.where("__k = 1").select(*own).unionByName(docs.where("doc_id is null"))
+    rows, labels = jaccard_components(docs.select("doc_id", "text"))
+    # texts without a shingle are components by id
+    sets = rows.groupBy("doc_id", "key", "n").agg(F.count("*").alias("c")).join(labels, "key", "left").withColumn("__label", F.when(F.col("n") > 0, F.coalesce("label", "key")))
+    least = sets.where("n > 0").groupBy("__label").agg(F.min("doc_id").alias("least"))
+    stay = sets.join(least, "__label", "left").where("n = 0 or doc_id = least").select(F.col("doc_id").cast(kind).alias("doc_id"), F.col("key").alias("__key"), "__label")
+    counts = rows.groupBy("doc_id").agg(F.count("*").alias("c")).select(F.col("doc_id").cast(kind).alias("doc_id"), (F.col("c") > 1).alias("__many"))
+    ids = stay.select("doc_id").distinct().join(counts, "doc_id")
+    single = docs.join(ids.where("not __many"), "doc_id", "left_semi")
+    splitter, at = Splitter(SPACES, fold=True), own.index("text")
+
+    def keyed(batches):
+        for b in batches:
+            data, offsets = string_buffer(b.column(at))
+            yield b.append_column("__key", pa.array(set_keys(shingle_sets(splitter, data, offsets)), pa.int64()))
+
+    # only rows of repeated ids are told apart by their sets
+    many = docs.join(ids.where("__many"), "doc_id", "left_semi").select(*own).mapInArrow(keyed, T.StructType([*docs.schema.fields, T.StructField("__key", T.LongType())]))
+    first = many.join(stay, ["doc_id", "__key"]).withColumn("__k", F.row_number().over(Window.partitionBy("doc_id", "__label").orderBy("text")))
+    return single.select(*own).unionByName(first.where("__k = 1").select(*own)).unionByName(docs.where("doc_id is null"))
