@@ -201,23 +201,119 @@ def brute_substring(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("batches", [1, 2, 4])
-def test_substring_dedup(spark, monkeypatch, batches):
-    monkeypatch.setattr(substring_dedup, "BATCHES", batches)
-    monkeypatch.setattr(substring_dedup, "CHUNK_WORDS", 500)
-    monkeypatch.setattr(substring_dedup.duplicate_starts, "__defaults__", (batches,))
+def substring_rows():
     rows = odd_texts()
     r = random.Random(1)
     pool = [prose(100 + k, 40) for k in range(6)]
     rows += [(100 + k, " ".join(r.choice(pool).split()[r.randrange(5) :] + [f"u{k}"]) + " " + prose(k, 10)) for k in range(60)]
-    d = docs(spark, rows)
-    got = sorted((tuple(x) for x in substring_dedup.report(d).collect()), key=str)
-    assert got == brute_substring(rows)
-    if batches == 2:
-        kept = substring_dedup.remove_duplicates(d)
-        assert kept.columns == d.columns and kept.count() == len(rows)
-        assert {x["text"] for x in kept.where("doc_id = 2").collect()} == {""}
-        assert substring_dedup.report(d.limit(0)).count() == 0
+    return rows + [(200, (prose(500, 30) + " ") * 9 + "tail"), (201, prose(500, 30) + " head"), (202, (prose(501, 30) + " ") * 5)]
+
+
+@pytest.mark.parametrize("batches", [1, 3, 5])
+def test_substring_dedup(spark, monkeypatch, batches):
+    monkeypatch.setattr(substring_dedup, "CHUNK_WORDS", 500)
+    monkeypatch.setattr(substring_dedup.duplicate_spans, "__defaults__", (batches,))
+    rows = substring_rows()
+    assert sorted((tuple(x) for x in substring_dedup.report(docs(spark, rows)).collect()), key=str) == brute_substring(rows)
+
+
+def test_substring_dedup_keeps_other_columns(spark):
+    rows = substring_rows()
+    d = docs(spark, rows).selectExpr("*", "'d' doc", "'m' mark", "'s' spans", "1 start", "'r' run", "'b' bucket")
+    kept = substring_dedup.remove_duplicates(d)
+    assert kept.columns == d.columns and kept.count() == len(rows) and kept.where("doc = 'd' and mark = 'm' and spans = 's' and run = 'r'").count() == len(rows)
+    assert {x["text"] for x in kept.where("doc_id = 2").collect()} == {""}
+    assert substring_dedup.report(d.limit(0)).count() == 0 and substring_dedup.remove_duplicates(d.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("known", [1 << 20, 0])
+def test_hits_by_chance_are_settled_by_words(spark, monkeypatch, known):
+    """With window hashes of 6 bits most claims are false."""
+    real = substring_dedup._windows_hash
+    monkeypatch.setattr(substring_dedup, "_windows_hash", lambda whole: real(whole) & np.uint64(63))
+    monkeypatch.setattr(substring_dedup, "KNOWN_HASHES", known)
+    rows = substring_rows()[:80] + [(5000 + i, f"one common gram of words a{i} b{i} c{i} d{i} e{i} f{i} g{i} h{i}") for i in range(300)]
+    scratch = Scratch(spark, "t")
+    keyed = substring_dedup._marked(docs(spark, rows))
+    index = substring_dedup.FingerprintIndex(spark, scratch.path(), 24)
+    # the workers are other processes: hashes are cut here, and merged and settled there
+    cut = [r for b in _cut_here(keyed, 24) for r in b.to_pylist()]
+    merged = [substring_dedup._merge(1)(t, substring_dedup._RUN.empty_table()) for t in _by_bucket(cut)]
+    hits = [(h["chunk"], h["body"]) for t in merged for row in t.to_pylist() for h in row["hits"]]
+    import pyarrow as pa
+
+    claims = pa.concat_tables([substring_dedup._claims(pa.table({"chunk": [c] * len(v), "body": pa.array(v, pa.binary())})) for c in {c for c, _ in hits} for v in [[x for k, x in hits if k == c]]])
+    spans = substring_dedup.verified(keyed, spark.createDataFrame(claims), scratch).groupBy("doc", "mark").applyInArrow(substring_dedup._spans, "doc long, mark long, spans binary")
+    gone = {}
+    for r in spans.collect():
+        gone[r["doc"]] = int(np.diff(np.frombuffer(r["spans"], "<i8").reshape(-1, 2), axis=1).sum())
+    want = {i if i is not None else substring_dedup.LAST: n for i, _, n, _ in brute_substring(rows) if n}
+    assert gone == want and len(claims) > 100
+    index.drop()
+
+
+def _cut_here(keyed, nb):
+    import pyarrow as pa
+
+    class Task:
+        @staticmethod
+        def get():
+            return Task
+
+        @staticmethod
+        def partitionId():
+            return 0
+
+    real, substring_dedup.TaskContext = substring_dedup.TaskContext, Task
+    try:
+        t = keyed.toArrow()
+        return list(substring_dedup._cutter(nb, Splitter(SPACES, fold=False))(pa.Table.from_arrays([c.combine_chunks() for c in t.columns], names=t.column_names).to_batches()))
+    finally:
+        substring_dedup.TaskContext = real
+
+
+def _by_bucket(rows):
+    import pyarrow as pa
+
+    for b in sorted({r["bucket"] for r in rows}):
+        part = [r for r in rows if r["bucket"] == b]
+        yield pa.table({"bucket": [b] * len(part), "chunk": [r["chunk"] for r in part], "body": pa.array([r["body"] for r in part], pa.binary())})
+
+
+def test_index_is_taken_up_again(spark, monkeypatch):
+    scratch = Scratch(spark, "t")
+    old, new = [(i, prose(i, 60)) for i in range(30)], [(100 + i, prose(i, 40) + f" new{i}") for i in range(40)]
+    index = substring_dedup.FingerprintIndex(spark, scratch.path(), 24)
+    marked = lambda rows: substring_dedup._marked(docs(spark, rows))
+    assert index.add(marked(old[:15])).count() == 0 and index.add(marked(old[15:])).count() == 0
+    index.compact()
+    again = substring_dedup.FingerprintIndex.open(spark, index.path, 24, index.version)
+    assert again.runs == 1
+    claims = again.add(marked(new))
+    assert {r["doc"] for r in claims.collect()} == {100 + i for i in range(30)} and again.runs == 2
+    plan = spark.table(again.table)._jdf.queryExecution().toString()
+    assert "Exchange" not in plan
+    again.drop()
+
+
+def test_long_texts_are_cut_into_parts(monkeypatch):
+    monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", 300)
+    texts = [prose(1, 400), "a b", prose(2, 30), "z" * 2000 + " end", prose(3, 500)]
+    raw = [t.encode() for t in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    s = Splitter(SPACES, fold=False)
+    got, want = {}, {}
+    for lo, n, h, counts, base in substring_dedup._parts(s, data, offsets):
+        first = np.concatenate([[0], np.cumsum(counts)])
+        w, pos = windows(h, first, 13)
+        for x, p in zip(w.tolist(), pos.tolist(), strict=True):
+            k = int(np.searchsorted(first, p, "right")) - 1
+            got.setdefault((lo + k, p - int(first[k]) + int(base[k])), x)
+    for d in range(len(raw)):
+        h, _, _, first = s.words(data, offsets[d : d + 2])
+        want |= {(d, int(p)): x for x, p in zip(windows(h, first, 13)[0].tolist(), windows(h, first, 13)[1], strict=True)}
+    assert got == want
 
 
 def brute_join(rows):

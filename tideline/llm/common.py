@@ -28,16 +28,24 @@ class Scratch:
         out.scratch_path = path
         return out
 
+    def keep(self, *tables: DataFrame) -> None:
+        """Deletes all of this run's tables but these, which a result still reads."""
+        kept = {t.scratch_path for t in tables}
+        self._delete(*(f"{self.root}/{k}" for k in range(1, self.n + 1) if f"{self.root}/{k}" not in kept))
+
     def release(self) -> None:
         """Lets Spark delete the shuffle files of finished jobs, which it does once their plans are garbage."""
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 
     def drop(self, *tables: DataFrame) -> None:
-        jvm = self.spark.sparkContext._jvm
-        for t in tables:
-            p = jvm.org.apache.hadoop.fs.Path(t.scratch_path)
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        self._delete(*(t.scratch_path for t in tables))
+
+    def _delete(self, *paths: str) -> None:
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for path in paths:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -79,6 +79,15 @@ class Splitter:
         h, s, e = map(np.concatenate, (hashes, starts, ends))
         return h, s, e, np.searchsorted(s, offsets)
 
+    def cut(self, data: np.ndarray, lo: int, end: int, size: int) -> int:
+        """Where a part of about ``size`` bytes from ``lo`` on ends: behind a separator, or at ``end``."""
+        top = lo + size
+        while top < end:
+            if len(at := np.flatnonzero(self.sep[data[top : min(end, top + SLICE)]])):
+                return top + int(at[0]) + 1
+            top += SLICE
+        return end
+
     def _cut(self, data: np.ndarray, offsets: np.ndarray, lo: int, end: int) -> int:
         """The end of the slice from ``lo``: at a text's end or behind a separator."""
         if end - lo <= SLICE:
