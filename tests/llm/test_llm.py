@@ -411,6 +411,22 @@ def test_packing(spark):
     assert packing.pack(docs(spark, []), None).count() == 0
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_pieces_have_the_ids_of_whole_texts(name):
+    """Also with a tokenizer of another structure, which keeps case and spaces."""
+    encoder = packing.WordEncoder(packing.tokenizer_path(name))
+    assert encoder.by_pieces == name.startswith("word")
+    r = random.Random(7)
+    parts = ["it's", "'s", "!'s", "a!'sb", "'re'", "don'T", "3.14", "x1y2", "e\u0301a", "=\u0338", "a=\u0338b", "İs", "ΣΑΣ!", "«à»", "naïve-ish", "\u00a0", "--", "A", "b", " ", "\t", "\n", "...", "'", "\x01", "漢字", "🙂!", "'ll", "#9'd", "١٢", "<", "|>"]
+    for k in range(60):
+        texts = ["".join(r.choice(parts) for _ in range(r.randrange(0, 30))) for _ in range(20)] + (["<|endoftext|> it's"] if k % 10 == 0 else [])
+        raw = [t.encode() for t in texts]
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+        ids, begin = encoder.encode(np.frombuffer(b"".join(raw), np.uint8), offsets)
+        want = [[*encoder.tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+        assert [ids[a:b].tolist() for a, b in zip(begin, begin[1:], strict=False)] == want
+
+
 def test_first_fit_decreasing_is_first_fit():
     r = random.Random(1)
     sizes = sorted((r.randrange(1, 101) for _ in range(300)), reverse=True)

@@ -5,15 +5,17 @@ groups at random (by hash), the number of groups following the number of rows; e
 on its own: longest piece first, each into the first bin with room, which a tree of the bins' free
 room finds in logarithmic time.
 
-Tokenising goes by distinct word: the tokenizer never looks across white space, so each distinct word of a block is
-encoded once, kept in a bounded cache, and texts are put together from words by numpy.
+Tokenising goes by distinct piece: a tokenizer of known structure never looks across white space, nor from letters to punctuation, so each
+distinct piece of a block is encoded once, kept in a bounded cache, and texts are put together from pieces by numpy.  A tokenizer of any other
+structure encodes whole texts.  A piece is known by its 64-bit hash and length.
 
 Defined cases: a null or empty text is the closing id alone; repeated rows are packed as rows of their own;
-a null doc_id stays null; an empty table gives no rows; other columns aren't read.
+a null doc_id stays null; an empty table gives no rows; ties in length go by id, start and checksum; other columns aren't read.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from itertools import repeat
@@ -28,7 +30,8 @@ from tideline.llm.textkernel import SPACES, Splitter, string_buffer
 LENGTH, END = 4096, 2
 GROUP_ROWS = 8192
 CACHE_WORDS = 500_000
-BLOCK_DOCS = 512
+BLOCK_DOCS, BLOCK_BYTES = 512, 4 << 20
+TEXT_WORDS = 500
 #: Stands between words that are encoded together; a control character, so hardly ever part of one.
 MARK = "\x01"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -40,18 +43,47 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: The structure of the tokenizers whose texts may be put together from pieces.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+
+
+def goes_by_pieces(tokenizer) -> bool:
+    """Whether a text's ids are those of its pieces: the tokenizer drops white space, lower-cases character by character, and
+    splits runs of letters, single digits and runs of other characters before anything else."""
+    spec = json.loads(tokenizer.to_str())
+    normal, before, model = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+    steps = before.get("pretokenizers") or [{}]
+    split = steps[0].get("type") == "Split" and steps[0].get("pattern") == {"Regex": SPLIT} and steps[0].get("invert") and steps[0].get("behavior") == "Removed"
+    rest = all(x.get("type") == "ByteLevel" and not x.get("add_prefix_space") and not x.get("use_regex") for x in steps[1:])
+    marked = all(x["content"].startswith("<|") and not x["normalized"] for x in spec.get("added_tokens") or [])
+    one = len(tokenizer.encode(MARK, add_special_tokens=False).ids) == 1
+    return bool(normal.get("normalizers") == NORMAL and split and rest and marked and one and model.get("type") == "BPE" and not model.get("dropout"))
+
+
+def _kinds() -> np.ndarray:
+    """Letters 1, other characters 2, digits 3; an apostrophe and bytes beyond ASCII, which may belong to their neighbours, 0."""
+    kinds = np.full(256, 2, np.uint8)
+    kinds[128:] = 0
+    kinds[39] = 0
+    kinds[[*range(65, 91), *range(97, 123)]] = 1
+    kinds[48:58] = 3
+    kinds[[*SPACES]] = 0
+    return kinds
+
+
 class WordEncoder:
-    """ids of texts, by distinct word.  The tokenizer lower-cases, so words that differ in case count as one,
-    except in blocks where a special token's string may stand."""
+    """ids of texts.  With a tokenizer that allows it (``goes_by_pieces``) each distinct piece of a block is encoded once and kept
+    in a bounded cache; other tokenizers, and texts in which a special token's string may stand, encode whole texts."""
 
-    def __init__(self, path: str, fold: bool = True):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.path, self.tokenizer = path, Tokenizer.from_file(path)
-        self.splitter = Splitter(SPACES, fold=fold)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.by_pieces = goes_by_pieces(self.tokenizer)
+        self.splitter = Splitter(SPACES, fold=True, kinds=_kinds())
         self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
-        self.exact = None if fold else self
         self._clear()
 
     def _clear(self) -> None:
@@ -62,7 +94,7 @@ class WordEncoder:
     def _encode_words(self, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of the words one behind the other, how many each has).
 
-        They are encoded as one text with a mark of one known id after each, and told apart by it."""
+        They are encoded in texts of ``TEXT_WORDS`` with a mark of one known id after each, and told apart by it."""
         gap = f" {MARK} ".encode()
         size = e - s
         to = np.cumsum(size + len(gap)) - (size + len(gap))
@@ -71,18 +103,25 @@ class WordEncoder:
         text[at] = np.frombuffer(gap, np.uint8)
         before = np.cumsum(size) - size
         text[np.repeat(to - before, size) + np.arange(int(size.sum()))] = data[np.repeat(s - before, size) + np.arange(int(size.sum()))]
-        ids = np.array(self.tokenizer.encode_batch_fast([text.tobytes().decode()], add_special_tokens=False)[0].ids, np.uint32)
+        raw, ends = text.tobytes(), [*to[::TEXT_WORDS].tolist(), len(text)]
+        parts = [raw[a:b].decode() for a, b in zip(ends, ends[1:], strict=False)]
+        ids = np.concatenate([np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)])
         ends = np.flatnonzero(ids == self.mark[0])
         if len(ends) != len(s):  # a word that has the mark itself: one by one
             each = [self.tokenizer.encode(bytes(data[a:b]).decode(), add_special_tokens=False).ids for a, b in zip(s.tolist(), e.tolist(), strict=True)]
             return np.array([i for x in each for i in x], np.uint32), np.array([len(x) for x in each], np.int64)
         return np.delete(ids, ends), np.diff(ends, prepend=-1) - 1
 
+    def _whole(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raw = data.tobytes()
+        each = [[*self.tokenizer.encode(raw[a:b].decode(), add_special_tokens=False).ids, END] for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False)]
+        begin = np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int64)
+        return np.fromiter((i for x in each for i in x), np.uint32, int(begin[-1])), begin
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with ``END`` behind it; where each text's begin)."""
-        if self.exact is not self and b"<|" in data.tobytes():
-            self.exact = self.exact or WordEncoder(self.path, fold=False)
-            return self.exact.encode(data, offsets)
+        if not self.by_pieces or b"<|" in data.tobytes():
+            return self._whole(data, offsets)
         h, s, e, first = self.splitter.words(data, offsets)
         unique, at, inverse = np.unique(h, return_index=True, return_inverse=True)
         if len(self.slot) > CACHE_WORDS:
@@ -117,8 +156,9 @@ def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH, with_
         for b in batches:
             data, offsets = string_buffer(b.column(1))
             ids = b.column(0)
-            for lo in range(0, len(ids), BLOCK_DOCS):
-                hi = min(len(ids), lo + BLOCK_DOCS)
+            hi = 0
+            while (lo := hi) < len(ids):
+                hi = min(len(ids), lo + BLOCK_DOCS, max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + BLOCK_BYTES, "right")) - 1))
                 base = offsets[lo]
                 tokens, begin = encoder.encode(data[base : offsets[hi]], offsets[lo : hi + 1] - base)
                 raw, n = tokens.astype("<u4").tobytes(), np.diff(begin)

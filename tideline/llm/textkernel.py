@@ -30,9 +30,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Splitter:
-    """Splits buffers into words at ``separators`` (byte values); ``fold`` lower-cases A-Z."""
+    """Splits buffers into words at ``separators`` (byte values); ``fold`` lower-cases A-Z.
 
-    def __init__(self, separators, fold: bool, seed: int = 20240101):
+    kinds: a number for each byte value.  Words are cut in two between bytes of different kinds, and between any of
+    kind 3; kind 0 is never cut off."""
+
+    def __init__(self, separators, fold: bool, seed: int = 20240101, kinds: np.ndarray | None = None):
+        self.kinds = kinds
         self.sep = np.zeros(256, bool)
         self.sep[list(separators)] = True
         self.values = _table(seed)
@@ -66,6 +70,11 @@ class Splitter:
             inner = inner[(inner > 0) & (inner < len(part))]
             begin[inner] = word[inner]
             stop[inner - 1] = word[inner - 1]
+            if self.kinds is not None:
+                kind = self.kinds[part]
+                apart = (kind[1:] != 0) & (kind[:-1] != 0) & ((kind[1:] != kind[:-1]) | (kind[1:] == 3))
+                begin[1:] |= apart
+                stop[:-1] |= apart
             s, e = np.flatnonzero(begin), np.flatnonzero(stop) + 1
             sums = np.zeros(len(part) + 1, np.uint64)
             np.cumsum(self.values[part] * self.power[: len(part)], out=sums[1:])
