@@ -2,18 +2,28 @@
 
 from __future__ import annotations
 
-import gc
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.scratch import fresh
 
 
+#: Settings that bound memory and disk, whatever the texts: bytes of one batch handed to Python, and shuffle files, which go as soon as a query ends.
+SETTINGS = {"spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "16m"), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": ("false", "true")}
+
+
+def bound(spark: SparkSession) -> None:
+    """Applies ``SETTINGS`` where the session has Spark's own defaults."""
+    for key, (default, value) in SETTINGS.items():
+        if spark.conf.get(key) == default:
+            spark.conf.set(key, value)
+
+
 class Scratch:
     """Tables of one operator run in the shared folder; ``drop`` deletes those no longer read."""
 
     def __init__(self, spark: SparkSession, name: str):
+        bound(spark)
         self.spark, self.root, self.n = spark, fresh(spark, name), 0
 
     def path(self) -> str:
@@ -33,11 +43,6 @@ class Scratch:
         kept = {t.scratch_path for t in tables}
         self._delete(*(f"{self.root}/{k}" for k in range(1, self.n + 1) if f"{self.root}/{k}" not in kept))
 
-    def release(self) -> None:
-        """Lets Spark delete the shuffle files of finished jobs, which it does once their plans are garbage."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-
     def drop(self, *tables: DataFrame) -> None:
         self._delete(*(t.scratch_path for t in tables))
 

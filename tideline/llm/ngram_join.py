@@ -380,7 +380,6 @@ def jaccard_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     spread = parts.withColumn("to", F.when(F.col("kind") == 0, -1 - F.col("bucket")).otherwise(F.col("bucket")))
     shared = spread.groupBy("to").applyInArrow(lambda t: _shared(t.select(["kind", "bucket", "body"])), ENTRY)
     rows = scratch.save(shared.groupBy("bucket").applyInArrow(_prefixes, "doc_id long, n long, key long, tokens array<long>"))
-    scratch.release()
 
     posts = rows.where("size(tokens) > 0").select("key", "n", F.explode("tokens").alias("token")).distinct()
     posts = scratch.save(posts)
@@ -399,7 +398,6 @@ def jaccard_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     links = scratch.save(_links(led, points))
     labels = scratch.save(components(links, scratch))
     for limit in (LIKELIEST, None):
-        scratch.release()
         now = members.join(labels, "key", "left").select("tree", "key", "n", F.coalesce("label", "key").alias("label"))
         cells = _cells(now).join(points.select("key", "low"), "key").select("cell", "key", "n", "low", "label", "side").repartition("cell").sortWithinPartitions("cell")
         links = scratch.save(_links(cells.mapInArrow(_across(limit), PAIRS), points))

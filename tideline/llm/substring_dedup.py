@@ -40,7 +40,7 @@ WINDOW, GRAM = 13, 5
 SIDE = WINDOW - GRAM
 FAN_IN = 2
 BATCHES = 3
-BUCKET_BYTES = 6 << 20
+BUCKET_BYTES, FINE_BUCKETS, LARGE_BUCKET_BYTES = 2 << 20, 4096, 6 << 20
 TABLE_BUCKETS = 1024
 CHUNK_WORDS = 1 << 19
 BLOCK_BYTES = 1 << 20
@@ -410,6 +410,11 @@ class FingerprintIndex:
         self._forget(self.table, self.path)
 
 
+def _buckets(size: int) -> int:
+    """Small buckets keep rows small; beyond ``FINE_BUCKETS`` of them a chunk's share of one would be too small."""
+    return max(min(buckets_for(size, BUCKET_BYTES), FINE_BUCKETS), buckets_for(size, LARGE_BUCKET_BYTES))
+
+
 def _marked(docs: DataFrame) -> DataFrame:
     """doc: the id to compare by; mark: a hash of the text, which tells rows of one id apart."""
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64("text").alias("mark"), F.col("text"))
@@ -469,7 +474,7 @@ def verified(docs: DataFrame, claims: DataFrame, scratch: Scratch) -> DataFrame:
                 digest = b"".join(_digests(part.column(2), ask))
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(doc, count)), pa.array(np.repeat(mark, count)), pa.array(at[:, 0]), pa.array(at[:, 1]), pa.array([digest[k : k + 16] for k in range(0, len(digest), 16)], pa.binary())], names=["doc", "mark", "start", "words", "digest"])
 
-    found = _with_small(docs, asked, ["doc"], "inner").select("doc", "mark", "text", "asked").mapInArrow(run, slices)
+    found = docs.join(asked, "doc").select("doc", "mark", "text", "asked").mapInArrow(run, slices)
     found = scratch.save(found)
     own = found.select("doc", "mark", "start", F.col("words").alias("own_words"), F.col("digest").alias("own"))
     with_own = claims.withColumn("own_words", words).join(own, ["doc", "mark", "start", "own_words"])
@@ -553,7 +558,7 @@ def duplicate_spans(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """doc, mark, spans (packed int64 pairs) for each document that loses words."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "substring")
-    index = FingerprintIndex(spark, scratch.path(), buckets_for(text_bytes(docs), BUCKET_BYTES))
+    index = FingerprintIndex(spark, scratch.path(), _buckets(text_bytes(docs)))
     keyed = _marked(docs)
     cuts = [k / batches for k in range(1, batches)]
     bounds = keyed.agg(F.percentile_approx("doc", F.array(*map(F.lit, cuts)), 10_000)).first()[0] if cuts else []
@@ -567,7 +572,6 @@ def duplicate_spans(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
             part = part.where(F.col("doc") <= bounds[k])
         one = scratch.save(index.add(part))
         claims = one if claims is None else claims.unionByName(one)
-        scratch.release()
         if index.runs >= FAN_IN and k < len(bounds):
             index.compact()
     index.drop()
