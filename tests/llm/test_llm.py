@@ -139,8 +139,30 @@ def test_decontaminate(spark):
     assert decontaminate.report(d, bench.limit(0)).where("n_hit > 0").count() == 0
     kept = decontaminate.decontaminate(d, bench)
     assert kept.columns == d.columns and sorted(r["doc_id"] for r in kept.collect()) == [3, 4, 5, 5, 6]
+    assert kept.where("n_words <> 'y' or score <> 'x'").count() == 0
     cut = {r["doc_id"]: r["text"] for r in decontaminate.remove_spans(d, bench).collect()}
-    assert cut[2] == "a here" and cut[5] == prose(8, 50)
+    assert cut[2] == "a here" and cut[5] == prose(8, 50) and cut[1] == "A, b" and cut[6] == prose(7, 900)
+    both = decontaminate.decontaminate(d, bench, cut=True)
+    assert both.columns == d.columns and {r["doc_id"]: r["text"] for r in both.collect()}[6] == prose(7, 900)
+
+
+def test_decontaminate_beyond_the_broadcast(spark, monkeypatch):
+    item = prose(9, 20)
+    bench = spark.createDataFrame([(1, item), (10, item + " more"), (2, "tiny item"), (3, None), (None, "x")], "item_id long, text string")
+    rows = [(1, "A, " + item.upper().replace(" ", " - ") + " b"), (2, "a tiny  ITEM here tiny item"), (3, None), (4, ""), (5, item), (5, item), (None, "x"), (6, item + " " + prose(7, 9000))]
+    d = docs(spark, rows)
+    want = sorted(map(str, decontaminate.report(d, bench).collect()))
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", -1)
+    assert sorted(map(str, decontaminate.report(d, bench).collect())) == want and len(want) == len(rows)
+    assert decontaminate.report(d, bench.limit(0)).where("n_hit > 0").count() == 0
+
+
+@pytest.mark.parametrize("names", [("__row", "h", "w", "k1", "hit_words", "hit_items", "at", "items")])
+def test_decontaminate_leaves_columns_of_any_name(spark, names):
+    d = docs(spark, [(1, "a tiny item b " + prose(1, 90)), (2, None)]).selectExpr("*", *(f"'{n}' {n}" for n in names))
+    bench = spark.createDataFrame([(1, "tiny item")], "item_id long, text string")
+    for kept in (decontaminate.decontaminate(d, bench, cut=True), decontaminate.remove_spans(d, bench), ngram_join.keep_one(d)):
+        assert kept.columns == d.columns and all(r[n] == n for r in kept.collect() for n in names) and kept.count() == 2
 
 
 def test_benchmark_items_without_an_id(spark):
@@ -460,15 +482,16 @@ def test_language_id(spark):
     words = {"en": "the of and in that with which from house water".split(), "de": "der die und nicht ein straße für über haus wasser".split(), "fr": "le la et dans où été maison eau très leçon".split()}
     r = random.Random(3)
     rows = [(i, " ".join(r.choice(words[lang]) for _ in range(40)), lang) for i in range(240) for lang in [["en", "de", "fr"][i % 3]]]
-    rows += [(900, None, "en"), (901, "123 !!", "en"), (902, "", None), (903, " ".join(words["fr"]), None), (None, "the of and in that", "en"), (904, "…", "de")]
+    rows += [(900, None, "en"), (901, "123 !!", "en"), (902, "", None), (903, " ".join(words["fr"]), None), (None, "the of and in that", "en"), (904, "…", "de"), (905, "", "de")]
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "'s' source", "cast(1 as long) n_chars", "'old' score")
     got = {x["doc_id"]: x for x in language_id.predict(d).collect()}
-    assert all(got[k]["lang_pred"] == "und" and got[k]["score"] == 0 for k in (900, 901, 902, 904)) and got[903]["lang_pred"] == "fr"
+    assert all(got[k]["lang_pred"] == "und" and got[k]["score"] == 0 for k in (900, 901, 902, 904, 905)) and got[903]["lang_pred"] == "fr"
     assert all(got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) for i in range(240))
     held = [i for i in range(240) if got[i]["held_out"]]
     assert sum(got[i]["lang_pred"] == rows[i][2] for i in held) >= 0.97 * len(held)
     kept = language_id.keep_known(d)
-    assert kept.columns == d.columns and kept.where("score <> 'old'").count() == 0 and kept.count() == len(rows) - 4
+    assert kept.columns == d.columns and kept.where("score <> 'old'").count() == 0 and kept.count() == len(rows) - 5
+    assert {x["doc_id"]: x["lang"] for x in kept.collect()}[903] == "fr"
     assert language_id.predict(d.withColumn("lang", d["lang"].substr(100, 1)).where("lang is null")).where("lang_pred <> 'und'").count() == 0
     assert language_id.predict(d.limit(0)).count() == 0
 
@@ -488,6 +511,33 @@ def test_forward_backward_matches_enumeration():
     assert np.allclose(got[0], want / total)
 
 
+@pytest.mark.parametrize("sizes", [(1,), (64,), (65,), (0, 3, 64, 200, 129, 0, 500)])
+def test_chains_of_whole_texts_are_not_broken(sizes):
+    r = np.random.default_rng(5)
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    e, m = r.normal(size=(int(first[-1]), 3)) * 2, r.normal(size=(3, 3)) * 2
+    got = language_id.whole_marginals(e, first, m)
+    for a, b in zip(first, first[1:], strict=False):
+        if b > a:
+            want, _ = language_id.marginals(e[None, a:b], np.ones((1, b - a), bool), m)
+            assert np.allclose(got[a:b], want[0])
+
+
+def test_features_cover_whole_words(monkeypatch):
+    words = ["a", "straße", "абвгдежзиклмнопрстуфхцчшщ" * 9]
+    raw = [w.encode() for w in words]
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    ends = np.cumsum([len(x) for x in raw])
+    starts = ends - [len(x) for x in raw]
+    rows, owner = language_id.features(data, starts, ends)
+    assert np.bincount(owner).tolist() == [sum(max(0, len(x) + 2 - k) for k in range(4)) for x in raw]
+    model = language_id.Model(["x", "y"], np.random.default_rng(1).normal(size=(language_id.ROWS, 2)), np.empty(0, np.uint64), np.zeros((0, 2)), np.eye(2), np.eye(2))
+    whole = model.emissions(np.zeros(3, np.uint64), data, starts, ends)
+    monkeypatch.setattr(language_id, "SLICE", 16)
+    assert np.allclose(whole, model.emissions(np.zeros(3, np.uint64), data, starts, ends))
+    assert language_id.plain(np.frombuffer("a“b” c… ¿d ª".encode(), np.uint8)).tobytes().decode().split() == ["a", "b", "c", "d", "ª"]
+
+
 def test_lm_score(spark):
     r = random.Random(4)
     rows = [(i, " ".join(x for _ in range(15) for x in (f"a{r.randrange(30)}", "B", f"c{r.randrange(5)}"))) for i in range(400)] + [(900, None), (901, "unseen words"), (None, "a1 b c1"), (902, "a1 b c1 " * 20_000)]

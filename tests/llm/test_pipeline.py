@@ -44,10 +44,27 @@ def test_stages(spark, corpus):
     four = dict(pairs("decontaminate"))
     hit = [i for i, t in three if item in t and 20 * 30 >= words[i]]
     assert set(four) == {i for i, _ in three} - set(hit) and hit
+    assert 402 in four and not any(item in t for t in four.values()) and SPLIT.findall(four[402].encode()) == SPLIT.findall(prose(9001, 2000).encode())
     tokens = steps["packing"].groupBy("doc_id").sum("length").collect()
     plain = packing.pieces(steps["decontaminate"]).groupBy("doc_id").sum("length").collect()
     assert sorted(map(tuple, tokens)) == sorted(map(tuple, plain)) and {r[0] for r in tokens} == set(four)
 
 
 def test_run(spark, corpus):
-    assert corpus_pipeline.run(spark, corpus[0]).count() > 30
+    rows = corpus_pipeline.run(spark, corpus[0]).collect()
+    docs = spark.read.parquet(f"{corpus[0]}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = spark.createDataFrame(stage(spark, docs, corpus[0]).toArrow())
+    key = lambda r: (r["doc_id"], r["start"], r["length"], r["ids_crc32"])
+    assert sorted(map(key, rows)) == sorted(map(key, docs.collect())) and len(rows) > 30
+
+
+def test_stages_of_odd_tables(spark, corpus):
+    """Empty tables, repeated rows and columns with clashing names."""
+    rows = [(1, prose(1, 60), "en", "s", 1)] * 3 + [(None, prose(2, 60), None, "s", None), (2, None, "en", None, 3), (3, "y" * 200_000 + " z", "en", "s", 4)]
+    odd = spark.createDataFrame(rows, COLUMNS).selectExpr("*", "'a' lang_pred", "'b' key", "'c' mark", "'d' spans", "'e' hit_words", "'f' __key")
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        got = stage(spark, odd, corpus[0])
+        assert got.columns == odd.columns and all((r["lang_pred"], r["key"], r["mark"], r["spans"], r["hit_words"], r["__key"]) == tuple("abcdef") for r in got.collect())
+        assert stage(spark, odd.limit(0), corpus[0]).count() == 0
+    assert corpus_pipeline.STAGES[4][1](spark, odd, corpus[0]).count() >= 6

@@ -20,6 +20,7 @@ doc_id gets no component; other columns aren't read.
 from __future__ import annotations
 
 import struct
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,7 @@ CHUNK_SHINGLES = 1 << 20
 MASK40 = np.uint64((1 << 40) - 1)
 BLOCK = 2048
 LEAF = 16
+BROADCAST_BYTES = 48 << 20
 LIKELIEST = 2
 
 
@@ -408,7 +410,7 @@ def jaccard_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         # labels are links, too: of a class to the least of its component
         known = labels.select(F.col("key").alias("a"), F.col("label").alias("b"))
         labels = scratch.save(components(known.unionByName(links), scratch))
-    scratch.drop(posts, members, points)
+    scratch.keep(rows, labels)
     return rows.select("doc_id", "n", "key"), labels
 
 
@@ -439,23 +441,35 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Of a component's repeated rows of that id the first by text stays; an id whose rows are in several components keeps a row of each
     of which it is the least."""
-    own, kind = docs.columns, docs.schema["doc_id"].dataType
+    own = docs.columns
+    columns = [F.col(f"`{c}`") for c in own]
     rows, labels = jaccard_components(docs.select("doc_id", "text"))
     # texts without a shingle are components by id
     sets = rows.groupBy("doc_id", "key", "n").agg(F.count("*").alias("c")).join(labels, "key", "left").withColumn("__label", F.when(F.col("n") > 0, F.coalesce("label", "key")))
     least = sets.where("n > 0").groupBy("__label").agg(F.min("doc_id").alias("least"))
-    stay = sets.join(least, "__label", "left").where("n = 0 or doc_id = least").select(F.col("doc_id").cast(kind).alias("doc_id"), F.col("key").alias("__key"), "__label")
-    counts = rows.groupBy("doc_id").agg(F.count("*").alias("c")).select(F.col("doc_id").cast(kind).alias("doc_id"), (F.col("c") > 1).alias("__many"))
-    ids = stay.select("doc_id").distinct().join(counts, "doc_id")
-    single = docs.join(ids.where("not __many"), "doc_id", "left_semi")
+    stay = sets.join(least, "__label", "left").where("n = 0 or doc_id = least").select("doc_id", F.col("key").alias("__key"), "__label")
+    ids = rows.groupBy("doc_id").agg((F.count("*") > 1).alias("many")).join(stay.select("doc_id", F.lit(True).alias("stays")).distinct(), "doc_id", "left")
+    # texts aren't shuffled as long as the ids that go, or are repeated, may be broadcast
+    odd = Scratch(docs.sparkSession, "ngram-ids").save(ids.where("many or stays is null").select("doc_id", F.coalesce("stays", F.lit(False)).alias("stays")))
+    total, repeated = odd.agg(F.count("*"), F.count_if("stays")).first()
+    small = F.broadcast if 24 * total <= BROADCAST_BYTES else (lambda df: df)
+    own_id = F.col("doc_id").cast("long")
+    name = f"__id_{uuid.uuid4().hex[:8]}"
+    single = docs.join(small(odd.select(F.col("doc_id").alias(name))), own_id == F.col(name), "left_anti")
+    if not repeated:
+        return single.select(*columns)
     splitter, at = Splitter(SPACES, fold=True), own.index("text")
 
     def keyed(batches):
         for b in batches:
             data, offsets = string_buffer(b.column(at))
-            yield b.append_column("__key", pa.array(set_keys(shingle_sets(splitter, data, offsets)), pa.int64()))
+            keys = [k for lo in range(0, b.num_rows, 256) for k in set_keys(shingle_sets(splitter, data, offsets[lo : min(b.num_rows, lo + 256) + 1]))]
+            yield b.append_column(name, pa.array(keys, pa.int64()))
 
     # only rows of repeated ids are told apart by their sets
-    many = docs.join(ids.where("__many"), "doc_id", "left_semi").select(*own).mapInArrow(keyed, T.StructType([*docs.schema.fields, T.StructField("__key", T.LongType())]))
-    first = many.join(stay, ["doc_id", "__key"]).withColumn("__k", F.row_number().over(Window.partitionBy("doc_id", "__label").orderBy("text")))
-    return single.select(*own).unionByName(first.where("__k = 1").select(*own)).unionByName(docs.where("doc_id is null"))
+    again = odd.where("stays").select(F.col("doc_id").alias(name))
+    many = docs.join(small(again), own_id == F.col(name), "left_semi").select(*columns).mapInArrow(keyed, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
+    stay = stay.toDF(*(f"{name}_{c}" for c in stay.columns))
+    first = many.join(stay, (own_id == F.col(f"{name}_doc_id")) & (F.col(name) == F.col(f"{name}___key")))
+    first = first.withColumn(f"{name}_k", F.row_number().over(Window.partitionBy(f"{name}_doc_id", f"{name}___label").orderBy("text")))
+    return single.select(*columns).unionByName(first.where(f"{name}_k = 1").select(*columns))
