@@ -13,7 +13,7 @@ from tideline.llm.common import Scratch, read
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can't be told (no text or no letter) go."""
+    """Documents whose language can't be told (no text, no letter, or too low a score) go; ``lang`` becomes the language found."""
     return language_id.keep_known(docs)
 
 
@@ -28,11 +28,12 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def remove_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which 5 % of the words or more are from benchmark windows go."""
-    return decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark"))
+    """Documents of which 5 % of the words or more are from benchmark windows go; all others lose such words."""
+    return decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark"), cut=True)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts as ids in sequences of at most 4096."""
     return packing.pack(docs)
 
 
