@@ -143,6 +143,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def _without(marked: DataFrame, at: str, own: list[str]) -> DataFrame:
     text = F.col("text")
     pieces = F.regexp_extract_all(text, F.lit(f"[^{BETWEEN}]+[{BETWEEN}]*"), F.lit(0))
-    stay = F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), F.col(at))
-    kept = F.concat(F.regexp_extract(text, f"^[{BETWEEN}]*", 0), F.array_join(F.transform(stay, lambda i: F.element_at(pieces, i + 1)), ""))
+    # a lambda is worked out anew for each element, so it holds nothing but columns
+    stay = F.filter(pieces, lambda x, i: ~F.array_contains(F.col(at), i))
+    kept = F.concat(F.regexp_extract(text, f"^[{BETWEEN}]*", 0), F.array_join(stay, ""))
     return marked.select(*(F.when(F.size(at) == 0, text).otherwise(kept).alias("text") if c == "text" else F.col(f"`{c}`") for c in own))

@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from tideline.llm.common import Scratch, buckets_for, text_bytes
 from tideline.llm.components import components
 from tideline.llm.substring_dedup import ENTRY, _planes, _rows, _unplanes
-from tideline.llm.textkernel import SPACES, Splitter, mix, string_buffer, windows
+from tideline.llm.textkernel import SPACES, Splitter, mix, string_buffer, tidied, tidy, windows
 
 SHINGLE = 5
 GROUPS, MOST_GROUPS, FULL = 64, 4096, 65535
@@ -111,7 +111,7 @@ def _cut(splitter: Splitter, nb: int):
         if ids:
             yield flush()
 
-    return run
+    return tidied(run)
 
 
 def _shared(table: pa.Table) -> pa.Table:
@@ -141,6 +141,8 @@ def _shared(table: pa.Table) -> pa.Table:
         c, cuts = np.unique(chunk[e], return_index=True)
         for number, lo, hi in zip(c, cuts, np.append(cuts[1:], len(e))[: len(c)], strict=True):
             out.append((2, int(number), struct.pack("<q", hi - lo) + own[e[lo:hi]].tobytes() + token[lo:hi].tobytes()))
+        del chunk, h, own, order, s, which, e, token, o, new
+        tidy()
     return pa.Table.from_batches([_rows(out)])
 
 
@@ -211,7 +213,7 @@ def _points(splitter: Splitter):
                 sets = shingle_sets(splitter, data, offsets[lo : min(b.num_rows, lo + 256) + 1])
                 yield pa.RecordBatch.from_arrays([pa.array(set_keys(sets)), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([f(s) for s in sets], pa.binary()) for f in (point, low_halves, np.ndarray.tobytes))], ["key", "n", "point", "low", "shingles"])
 
-    return run
+    return tidied(run)
 
 
 class Tree:
@@ -338,7 +340,7 @@ def _across(limit: int | None):
                 found, size = [], 0
         yield _pairs(found)
 
-    return run
+    return tidied(run)
 
 
 def _verify(batches):

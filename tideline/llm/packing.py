@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.textkernel import SPACES, Splitter, string_buffer
+from tideline.llm.textkernel import SPACES, Splitter, string_buffer, tidied
 
 LENGTH, END = 4096, 2
 GROUP_ROWS = 8192
@@ -173,7 +173,7 @@ def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH, with_
                     columns.append(pa.ListArray.from_arrays(pa.array(np.append(at, begin[-1]), pa.int32()), pa.array(tokens.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: len(columns)])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(run, PIECES + (", ids array<int>" if with_ids else ""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(tidied(run), PIECES + (", ids array<int>" if with_ids else ""))
 
 
 class Bins:

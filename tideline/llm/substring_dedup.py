@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm.common import Scratch, buckets_for, text_bytes
-from tideline.llm.textkernel import SPACES, Splitter, mix, string_buffer, windows
+from tideline.llm.textkernel import SPACES, Splitter, mix, string_buffer, tidied, tidy, windows
 
 WINDOW, GRAM = 13, 5
 SIDE = WINDOW - GRAM
@@ -235,7 +235,7 @@ def _cutter(nb: int, splitter: Splitter):
         if held:
             yield flush()
 
-    return run
+    return tidied(run)
 
 
 def _rows(rows) -> pa.RecordBatch:
@@ -291,7 +291,10 @@ def _merge(run: int):
         keep = order[fresh[order] & (order >= n_old)]
         body = _pack_entries(h[keep], many[keep], doc[keep], place[keep], whole[_order(first[keep], many[keep])])
         hit = np.flatnonzero((entry >= n_old) & (doc[entry] > doc[entry[rep]])) if len(key) else which
-        return _run_row(run, bucket, body, list(_hits(chunk[entry[hit] - n_old], number[entry[hit] - n_old], where[hit], doc[entry[rep[hit]]], where[rep[hit]])))
+        out = _run_row(run, bucket, body, list(_hits(chunk[entry[hit] - n_old], number[entry[hit] - n_old], where[hit], doc[entry[rep[hit]]], where[rep[hit]])))
+        del h, many, doc, place, whole, entry, w, where, key, o, order, s
+        tidy()
+        return out
 
     return merge
 
@@ -474,7 +477,7 @@ def verified(docs: DataFrame, claims: DataFrame, scratch: Scratch) -> DataFrame:
                 digest = b"".join(_digests(part.column(2), ask))
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(doc, count)), pa.array(np.repeat(mark, count)), pa.array(at[:, 0]), pa.array(at[:, 1]), pa.array([digest[k : k + 16] for k in range(0, len(digest), 16)], pa.binary())], names=["doc", "mark", "start", "words", "digest"])
 
-    found = docs.join(asked, "doc").select("doc", "mark", "text", "asked").mapInArrow(run, slices)
+    found = docs.join(asked, "doc").select("doc", "mark", "text", "asked").mapInArrow(tidied(run), slices)
     found = scratch.save(found)
     own = found.select("doc", "mark", "start", F.col("words").alias("own_words"), F.col("digest").alias("own"))
     with_own = claims.withColumn("own_words", words).join(own, ["doc", "mark", "start", "own_words"])
@@ -621,18 +624,26 @@ def report(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     joined = _with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return joined.mapInArrow(tidied(run), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` with duplicate words taken out of ``text`` (a text that loses none stays as written)."""
     own = docs.columns
+    at = own.index("text")
 
     def run(batches):
-        for b in batches:
-            texts = b.column(b.schema.get_field_index("text"))
-            rows = [None if not gone else _joined(s, e, data).decode() for _, gone, s, e, data in _kept(texts, b.column(b.num_columns - 1))]
-            new = [t if r is None else r for t, r in zip(texts.to_pylist(), rows, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if c == "text" else b.column(k) for k, c in enumerate(own)], names=own)
-
-    return _with_spans(docs).mapInArrow(run, docs.schema)
+        for b in (x.slice(lo, 512) for x in batches for lo in range(0, x.num_rows, 512)):
+            texts = b.column(at)
+            lost = np.zeros(b.num_rows, bool)
+            new = []
+            for d, (_, gone, s, e, data) in enumerate(_kept(texts, b.column(b.num_columns - 1))):
+                lost[d] = gone > 0
+                if gone:
+                    new.append(_joined(s, e, data).decode())
+            # of two columns, the text as written and the new ones
+            take = np.where(lost, b.num_rows + np.cumsum(lost) - 1, np.arange(b.num_rows))
+            text = pa.concat_arrays([texts, pa.array(new, pa.string())]).take(pa.array(take))
+            yield pa.RecordBatch.from_arrays([text if k == at else b.column(k) for k in range(len(own))], names=own)
+
+    return _with_spans(docs).mapInArrow(tidied(run), docs.schema)

@@ -16,6 +16,29 @@ _R = np.uint64(0x9E3779B97F4A7C15)
 _SHINGLE = np.uint64(0xD6E8FEB86659FD93)
 
 
+def tidy() -> None:
+    """Gives memory that a worker has freed back to the system, so that workers at rest hold little."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass
+
+
+def tidied(run):
+    """``run`` (batches -> batches), with ``tidy`` when it has ended."""
+
+    def ran(batches):
+        yield from run(batches)
+        tidy()
+
+    return ran
+
+
 def _table(seed: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64(seed)).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
