@@ -148,3 +148,14 @@ def test_illegal_moves(spark):
     rows = [("s", "ACTIVE", "SCALING"), ("s", "SCALING", "ACTIVE"), ("s", "ACTIVE", "ACTIVE"), ("s", "SEALED", "ACTIVE"), ("s", "CREATING", "SEALING")]
     got = illegal_moves(spark.createDataFrame(rows, "stream string, was string, becomes string")).collect()
     assert [(r["was"], r["becomes"]) for r in got] == [("SEALED", "ACTIVE"), ("CREATING", "SEALING")]
+
+
+@pytest.mark.parametrize("name,scans", [("retention_size", 2), ("retention_time", 2), ("next_cut", 2)])
+def test_written_tables_are_read_instead_of_the_log(spark, sf, name, scans):
+    plan = ALL[name](spark, sf)._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and plan.split("== Physical Plan ==")[1].count("events.parquet") <= scans
+
+
+def test_full_cut_validity(spark, sf):
+    rows = {r["cut_id"]: r["valid"] for r in ALL["cut_fully_valid"](spark, sf).collect()}
+    assert len(rows) == 120 and all(rows[k] for k in rows if k % 4 == 0) and not any(rows[k] for k in rows if k % 4 == 1)

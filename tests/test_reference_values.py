@@ -135,3 +135,38 @@ def test_mark_fills_gaps():
     assert watermarks.emit([{"ts_ms": 5, "position": {0: 9}}], first, list(model.HISTORY)) is None
     later = watermarks.emit([{"ts_ms": 8, "position": {4294967298: 3}}, {"ts_ms": 6, "position": {1: 4}}], first, list(model.HISTORY))
     assert later["lower"] == 6 and later["cut"] == {4294967298: 3, 4294967299: 0, 1: 4}
+
+
+def marks(spark, rows):
+    df = spark.createDataFrame(rows, "writer_id int, seq long, ts_ms long, position map<long,long>")
+    return [r["result"] for r in watermarks.accepted_marks(df).orderBy("writer_id", "seq").collect()]
+
+
+def test_rejected_marks_leave_the_stored_one(spark):
+    assert marks(spark, [(1, 1, 10, {0: 100}), (1, 2, 20, {0: 50}), (1, 3, 15, {0: 120}), (2, 1, 5, {0: 1})]) == ["SUCCESS", "INVALID_POSITION", "SUCCESS", "SUCCESS"]
+
+
+def test_positions_are_held_against_each_other_by_segment(spark):
+    rows = [(1, 1, 10, {0: 5, 1: 5}), (1, 2, 10, {0: 4, 1: 9}), (1, 3, 9, {0: 9, 1: 9}), (1, 4, 11, {2: 0, 1: 5}), (1, 5, 12, {0: 0, 2: 1}), (1, 6, 12, {}), (1, 7, 12, {2: 0}), (1, 8, None, {2: 9})]
+    assert marks(spark, rows) == ["SUCCESS", "INVALID_POSITION", "INVALID_TIME", "SUCCESS", "SUCCESS", "SUCCESS", "SUCCESS", "INVALID_TIME"]
+
+
+E1, E2 = 1 << 32, 2 << 32
+SCALES = ((0, 0, 0.0, 0.5), (0, 1, 0.5, 1.0), (1, E1 + 2, 0.0, 0.25), (1, E1 + 3, 0.25, 0.5), (1, 1, 0.5, 1.0), (2, E1 + 2, 0.0, 0.25), (2, E2 + 4, 0.25, 1.0))
+
+
+@pytest.mark.parametrize("cut,want", [
+    ({0: 5, 1: 5}, True), ({0: 5}, False), ({0: 5, 1: 5, E1 + 2: 1}, False), ({E1 + 2: 0, E1 + 3: 1, 1: 1}, True), ({E1 + 2: 0, 1: 1}, False),
+    ({E1 + 2: 0, E1 + 3: -1, 1: 1}, True), ({E1 + 2: 0, E2 + 4: -1, 1: 1}, True), ({E1 + 2: 0, E2 + 4: 3}, True), ({0: 5, 1: 5, E1 + 3: -1}, True), ({E1 + 2: 3, E1 + 3: 4, 0: -1, 1: 3}, False),
+])
+def test_cuts_with_future_segments(spark, cut, want):
+    rows = spark.createDataFrame([(7, s, o) for s, o in cut.items()], model.CUT)
+    assert [tuple(r) for r in cuts.fully_valid(rows, SCALES).collect()] == [(7, want)]
+
+
+def test_revisions_before_the_head_are_truncated(spark):
+    log = spark.createDataFrame([(0, 10 * k, 10, k) for k in range(3, 9)], "segment_id long, offset long, len long, event_id long")
+    heads = spark.createDataFrame([(0, 30)], "segment_id long, head long")
+    assert [r["event_id"] for r in batch.read_revisions(log, 40, 70, heads).orderBy("revision").collect()] == [4, 5, 6]
+    with pytest.raises(batch.TruncatedData):
+        batch.read_revisions(log, 20, heads=heads)

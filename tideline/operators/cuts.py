@@ -6,6 +6,7 @@ takes part only where sizes or boundaries are read from it, always with equality
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,6 +72,60 @@ def validity(cuts: DataFrame, segments: DataFrame) -> DataFrame:
     return out.withColumn("valid", (F.col("gaps") == 0) & (F.col("laps") == 0))
 
 
+def fully_valid(cuts: DataFrame, history) -> DataFrame:
+    """cut_id, valid; an offset under 0 is a future segment: one that the reader is due to reach and hasn't begun.
+
+    Valid if present segments cover no key twice; if whatever they leave open is covered by future segments, which are later than all present ones that they
+    overlap; and if the open ranges can be followed, epoch by epoch, from the oldest epoch to future segments without passing one that a present
+    segment should have come before.  A cut is a few rows, so each is judged in one group; ``history`` (epoch, segment_id, low, high) is metadata."""
+    ranges = {s: (a, b) for _, s, a, b in history}
+    by_epoch: dict[int, list[int]] = {}
+    for e, s, *_ in history:
+        by_epoch.setdefault(e, []).append(s)
+
+    def meet(x: tuple[float, float], y: tuple[float, float]) -> bool:
+        return x[0] < y[1] and x[1] > y[0]
+
+    def judge(offsets: dict[int, int]) -> bool:
+        if not offsets or any(s not in ranges for s in offsets):
+            return False
+        due = {s for s, o in offsets.items() if o < 0}
+        present = set(offsets) - due
+        if any(meet(ranges[f], ranges[s]) and s >= f for f in due for s in present):
+            return False
+        open_, at = [], 0.0
+        for a, b in sorted(ranges[s] for s in present):
+            if a < at:
+                return False
+            if a > at:
+                open_.append((at, a))
+            at = b
+        if at < 1.0:
+            open_.append((at, 1.0))
+        if not all(any(meet(ranges[f], gap) for f in due) for gap in open_):
+            return False
+        oldest, newest = min(offsets) >> 32, max(offsets) >> 32
+        seen, ahead = set(), [s for s in by_epoch[oldest] if any(meet(ranges[s], gap) for gap in open_)]
+        while ahead:
+            s = ahead.pop()
+            if s in seen or s in offsets:
+                continue
+            seen.add(s)
+            over = [p for p in present if meet(ranges[p], ranges[s])]
+            if any(p < s for p in over):
+                return False
+            if over:  # read to its end: on to what came after it
+                later = next((e for e in range(s >> 32, newest + 1) if s not in by_epoch[e]), None)
+                ahead += [n for n in by_epoch[later] if meet(ranges[n], ranges[s])] if later is not None else []
+        return True
+
+    def run(table: pa.Table) -> pa.Table:
+        valid = judge(dict(zip(table.column("segment_id").to_pylist(), table.column("offset").to_pylist(), strict=True)))
+        return pa.table({"cut_id": table.column("cut_id").slice(0, 1), "valid": pa.array([valid])})
+
+    return cuts.groupBy("cut_id").applyInArrow(run, "cut_id long, valid boolean")
+
+
 def span_epochs(cuts: DataFrame, epochs: DataFrame) -> DataFrame:
     """cut_id, segment_id, epoch: the highest epoch, within those of the cut's oldest and newest segment, that has the segment."""
     ends = cuts.groupBy("cut_id").agg(F.shiftright(F.min("segment_id"), 32).cast("int").alias("lo"), F.shiftright(F.max("segment_id"), 32).cast("int").alias("hi"))

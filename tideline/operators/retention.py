@@ -28,7 +28,7 @@ def truncate_by_size(records: DataFrame, size: int, least: int, most: int | None
     best = best_records(records, F.lit(size) - F.col("size"), least, most)
     if retained is None:
         return best.select(F.col("min_id").cast("string").alias("choice"))
-    side = best.join(orders.select(F.col("cut_id").alias("min_id"), "record_vs_bound"), "min_id", "left").crossJoin(before_bound(records, orders))  # one row each
+    side = best.join(orders.select(F.col("cut_id").alias("min_id"), "record_vs_bound"), "min_id", "left").withColumn("before_id", F.lit(before_bound(records, orders).first()[0]).cast("long"))
     deltas = records.select(F.col("cut_id").alias("max_id"), (F.lit(size) - F.col("size")).alias("max_d"))
     side = side.join(deltas, "max_id", "left")
     few = F.when(F.col("min_id").isNull(), None).when(F.col("record_vs_bound") == "Before", F.col("min_id").cast("string")).otherwise(F.col("before_id").cast("string"))
@@ -47,7 +47,8 @@ def truncate_by_time(records: DataFrame, now: int, least: int, most: int | None,
         return best.select(F.col("min_id").cast("string").alias("choice"))
     old = records.where(age >= (most if most is not None else 1 << 62)).agg(F.max_by("cut_id", "time").alias("old_id"))
     pick = lambda c, v: orders.select(F.col("cut_id").alias(c), F.col(v).alias(f"{c}_{v}"))
-    r = best.crossJoin(old).crossJoin(before_bound(records, orders))  # one row each
+    # one row each: ids, so the driver may hold them
+    r = best.withColumn("old_id", F.lit(old.first()[0]).cast("long")).withColumn("before_id", F.lit(before_bound(records, orders).first()[0]).cast("long"))
     r = r.join(pick("min_id", "record_vs_bound"), "min_id", "left").join(pick("old_id", "bound_vs_record"), "old_id", "left")
     text = lambda c: F.col(c).cast("string")
     late = F.when(F.col("old_id").isNull() | (F.col("old_id_bound_vs_record") == "EqualOrAfter"), "LB").when(F.col("old_id_bound_vs_record") == "Before", text("max_id")).otherwise(text("old_id"))
@@ -61,6 +62,6 @@ def truncate(log: DataFrame, cut: DataFrame, segments: DataFrame) -> DataFrame:
 
     r = cut.join(segments, "segment_id").select(F.col("segment_id").alias("c"), F.col("key_start").alias("cs"), F.col("key_end").alias("ce"))
     s = segments.select("segment_id", "key_start", "key_end")
-    gone = s.join(F.broadcast(r), overlaps(F.col("key_start"), F.col("key_end"), F.col("cs"), F.col("ce")) & (F.col("segment_id") < F.col("c"))).select("segment_id").distinct()
+    gone = s.join(r, overlaps(F.col("key_start"), F.col("key_end"), F.col("cs"), F.col("ce")) & (F.col("segment_id") < F.col("c"))).select("segment_id").distinct()
     live = s.join(gone, "segment_id", "left_anti").join(cut.select("segment_id", F.col("offset").alias("head")), "segment_id", "left").select("segment_id", F.coalesce("head", F.lit(0)).alias("head"))
-    return log.join(F.broadcast(live), "segment_id").where(F.col("offset") >= F.col("head")).drop("head")
+    return log.join(live, "segment_id").where(F.col("offset") >= F.col("head")).drop("head")

@@ -7,17 +7,28 @@ from itertools import dropwhile
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.operators.fold import fold
+
 
 def accepted_marks(marks: DataFrame) -> DataFrame:
-    """marks (writer_id, seq, ts_ms, pos) with result: INVALID_TIME if time falls back, INVALID_POSITION if the position does.
-
-    Equal times are accepted.  Rejected marks leave the stored one as it is; since only falls are rejected, the stored
-    mark's time is the greatest accepted so far."""
-    w = Window.partitionBy("writer_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    late = F.coalesce(F.col("ts_ms") < F.max("ts_ms").over(w), F.lit(False))
-    timed = marks.withColumn("late", late)
-    back = F.coalesce(F.col("pos") < F.max(F.when(~F.col("late"), F.col("pos"))).over(w), F.lit(False))
-    return timed.withColumn("result", F.when(F.col("late"), "INVALID_TIME").when(back, "INVALID_POSITION").otherwise("SUCCESS")).drop("late")
+    """marks (writer_id, seq, ts_ms, position: map of segment to offset) with result.
+
+    INVALID_TIME if the time is before the stored mark's, INVALID_POSITION if an offset falls in a segment that both positions have, else SUCCESS,
+    and the mark is stored.  A rejected mark leaves the stored one as it is, so the outcome depends on all before: a fold by writer.
+    A null time counts as before any other, a null position has no segments."""
+
+    def step(stored, row):
+        ts, position = row["ts_ms"], dict(row["position"] or [])
+        if stored is not None and (ts is None or stored[0] is not None and ts < stored[0]):
+            result = "INVALID_TIME"
+        elif stored is not None and any(position[s] < o for s, o in stored[1].items() if s in position):
+            result = "INVALID_POSITION"
+        else:
+            result, stored = "SUCCESS", (ts, position)
+        return stored, {**row, "result": result}
+
+    schema = ", ".join(f"{c} {k}" for c, k in (*marks.dtypes, ("result", "string")))
+    return fold(marks, ["writer_id"], ["seq"], lambda: None, step, schema)
 
 
 def bounds(marks: DataFrame, by: str) -> DataFrame:

@@ -17,6 +17,7 @@ from tideline.operators import transactions as X
 from tideline.operators import watermarks as W
 from tideline.plans.sql import CUTS, EVENTS
 from tideline.plans.stream_queries import daily_cuts, sizes
+from tideline.scratch import saved
 from tideline.sources.events import events, events_log, read
 
 QUERIES, ORACLES = {}, {}
@@ -81,7 +82,7 @@ def writer_dedup(spark, d):
     return A.first_by_number(e, "w", "no", "at").select("event_id", "no")
 
 
-@query("select event_id, octet_length(encode(props)) n_bytes, props from events where event_id < 500")
+@query("select event_id, octet_length(encode(props)) n_bytes, props from events")
 def large_event_round_trip(spark, d):
     """Events cut into slices of 4 bytes and put together again."""
     from tideline.sources.sinks import reassemble, slices
@@ -173,15 +174,18 @@ def wm_monotone(spark, d):
     return W.strictly_rising(W.bounds(marks(spark, d), "day").withColumn("lower", late), "day")
 
 
-@query("""with s as (select cast(user_id % 4 as integer) writer_id, event_id seq, (epoch_us(ts) // 1000) - case when event_id % 11 = 0 then 3600000 else 0 end ts_ms, event_id - case when event_id % 13 = 0 then 50 else 0 end pos from events),
-l as (select *, coalesce(ts_ms < max(ts_ms) over (partition by writer_id order by seq rows between unbounded preceding and 1 preceding), false) late from s),
-b as (select *, coalesce(pos < max(case when not late then pos end) over (partition by writer_id order by seq rows between unbounded preceding and 1 preceding), false) back from l)
-select writer_id, seq, ts_ms, pos, case when late then 'INVALID_TIME' when back then 'INVALID_POSITION' else 'SUCCESS' end result from b""")
+@query("""with recursive s as (select cast(user_id % 4 as integer) writer_id, event_id seq, (epoch_us(ts) // 1000) - case when event_id % 11 = 0 then 3600000 else 0 end ts_ms, user_id % 3 segment, event_id - case when event_id % 13 = 0 then 50 else 0 end pos,
+  row_number() over (partition by user_id % 4 order by event_id) rn from events),
+r as (select writer_id, seq, rn, 'SUCCESS' result, ts_ms kept, segment seg, pos o from s where rn = 1
+union all select writer_id, seq, rn, result, case when result = 'SUCCESS' then ts_ms else kept end, case when result = 'SUCCESS' then segment else seg end, case when result = 'SUCCESS' then pos else o end from (
+  select s.*, r.kept, r.seg, r.o, case when s.ts_ms < r.kept then 'INVALID_TIME' when s.segment = r.seg and s.pos < r.o then 'INVALID_POSITION' else 'SUCCESS' end result from r join s on s.writer_id = r.writer_id and s.rn = r.rn + 1))
+select writer_id, seq, ts_ms, segment, pos, result from r join s using (writer_id, seq)""")
 def wm_note_mark(spark, d):
     e = read(spark, d, "events")
     ts = F.unix_millis(F.col("ts").cast("timestamp")) - F.when(F.col("event_id") % 11 == 0, 3600000).otherwise(0)
-    m = e.select((F.col("user_id") % 4).cast("int").alias("writer_id"), F.col("event_id").alias("seq"), ts.alias("ts_ms"), (F.col("event_id") - F.when(F.col("event_id") % 13 == 0, 50).otherwise(0)).alias("pos"))
-    return W.accepted_marks(m)
+    segment, pos = F.col("user_id").cast("long") % 3, F.col("event_id") - F.when(F.col("event_id") % 13 == 0, 50).otherwise(0)
+    m = e.select((F.col("user_id") % 4).cast("int").alias("writer_id"), F.col("event_id").alias("seq"), ts.alias("ts_ms"), F.create_map(segment, pos).alias("position"))
+    return W.accepted_marks(m).select("writer_id", "seq", "ts_ms", F.map_keys("position")[0].alias("segment"), F.map_values("position")[0].alias("pos"), "result")
 
 
 @query("""with m as (select event_type stream, user_id writer_id, max((epoch_us(ts) // 1000)) ts_ms, user_id % 3 > 0 alive, max((epoch_us(ts) // 1000)) + 5 reported_at from events group by all),
@@ -247,12 +251,20 @@ def retention_cuts(spark, d):
     return recordings(spark, d)
 
 
-def _orders(spark, d, bound: int):
-    cuts, s = daily_cuts(spark, d), model.segments(spark)
-    ids = spark.range(30).select(F.col("id"))
-    there = C.compare(cuts, s, ids.select(F.col("id").alias("a"), F.lit(bound).cast("long").alias("b"))).select(F.col("a").alias("cut_id"), F.col("ordering").alias("record_vs_bound"))
-    back = C.compare(cuts, s, ids.select(F.lit(bound).cast("long").alias("a"), F.col("id").alias("b"))).select(F.col("b").alias("cut_id"), F.col("ordering").alias("bound_vs_record"))
-    return there.join(back, "cut_id")
+def _retention_set(spark, d, bounds: list[int]) -> tuple[DataFrame, dict[int, DataFrame]]:
+    """The recordings, and by bound the orders of each recorded cut to it.  Both are metadata: they are worked out once and written."""
+    rec = saved(recordings(spark, d))
+    cuts, s = saved(daily_cuts(spark, d)), model.segments(spark)
+    b = F.explode(F.array(*(F.lit(k).cast("long") for k in bounds)))
+    ids = rec.select(F.col("cut_id").alias("id"), b.alias("bound"))
+    pairs = ids.select(F.col("id").alias("a"), F.col("bound").alias("b")).unionByName(ids.select(F.col("bound").alias("a"), F.col("id").alias("b"))).distinct()
+    order = saved(C.compare(cuts, s, pairs))
+    each = {}
+    for k in bounds:
+        there = order.where(F.col("b") == k).select(F.col("a").alias("cut_id"), F.col("ordering").alias("record_vs_bound"))
+        back = order.where(F.col("a") == k).select(F.col("b").alias("cut_id"), F.col("ordering").alias("bound_vs_record"))
+        each[k] = there.join(back, "cut_id")
+    return rec, each
 
 
 @query("with " + EVENTS + _REC + """, t as (select max(size) total from rec), d as (select cut_id, total - size d, total from rec, t)
@@ -261,24 +273,24 @@ union all select 'few left', case when arg_min(cut_id, d) filter (d >= total / 4
 union all select 'between', 'LB'
 union all select 'too many', case when (arg_max(d, d) filter (d >= total / 4 and d <= total / 2)) < any_value((select total - size from rec, t where cut_id = 9)) then cast(arg_max(cut_id, d) filter (d >= total / 4 and d <= total / 2) as varchar) else 'LB' end from d""")
 def retention_size(spark, d):
-    rec = recordings(spark, d)
-    total = rec.agg(F.max("size")).first()[0]
+    rec, orders = _retention_set(spark, d, [26, 20, 9])
     rows = {r["cut_id"]: r["size"] for r in rec.collect()}
+    total = max(rows.values())
     least, most = -(-total // 4), total // 2
     cases = [("no bound", None, None), ("few left", 26, total - rows[26]), ("between", 20, total // 3), ("too many", 9, total - rows[9])]
     out = None
     for name, bound, left in cases:
-        one = T.truncate_by_size(rec, total, least, most, left, _orders(spark, d, bound) if bound is not None else None).select(F.lit(name).alias("case"), "choice")
+        one = T.truncate_by_size(rec, total, least, most, left, orders.get(bound)).select(F.lit(name).alias("case"), "choice")
         out = one if out is None else out.unionByName(one)
     return out
 
 
 @query("""select * from (values ('no bound', '19'), ('early', '19'), ('middle', 'LB'), ('late', '9')) t("case", choice)""")
 def retention_time(spark, d):
-    rec = recordings(spark, d)
+    rec, orders = _retention_set(spark, d, [25, 15, 2])
     out = None
     for name, bound in (("no bound", None), ("early", 25), ("middle", 15), ("late", 2)):
-        one = T.truncate_by_time(rec, 29, 10, 20, _orders(spark, d, bound) if bound is not None else None).select(F.lit(name).alias("case"), "choice")
+        one = T.truncate_by_time(rec, 29, 10, 20, orders.get(bound)).select(F.lit(name).alias("case"), "choice")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -374,7 +386,7 @@ def txn_completed(spark, d):
     return X.completed(txns(spark, d), 50).select("txn_id", "status", "ended")
 
 
-@query("""with c as (select event_id % 100 txn_id, event_id seq, ['OPEN', 'COMMITTING', 'COMMITTED', 'ABORTING'][cast(trunc(event_id / 100) as integer) % 4 + 1] status from events where event_id < 900)
+@query("""with c as (select event_id % 100 txn_id, event_id seq, ['OPEN', 'COMMITTING', 'COMMITTED', 'ABORTING'][cast(trunc(event_id / 100) as integer) % 4 + 1] status from events)
 select txn_id, arg_max(status, seq) status from c group by txn_id""")
 def txn_status(spark, d):
     return X.status(_changes(spark, d))
@@ -385,7 +397,7 @@ def _changes(spark, d):
     return read(spark, d, "events").select((F.col("event_id") % 100).alias("txn_id"), F.col("event_id").alias("seq"), s.alias("status"))
 
 
-@query("""with c as (select event_id % 100 txn_id, event_id seq, ['OPEN', 'COMMITTING', 'COMMITTED', 'ABORTING'][cast(trunc(event_id / 100) as integer) % 4 + 1] status from events where event_id < 900),
+@query("""with c as (select event_id % 100 txn_id, event_id seq, ['OPEN', 'COMMITTING', 'COMMITTED', 'ABORTING'][cast(trunc(event_id / 100) as integer) % 4 + 1] status from events),
 l as (select *, lag(status) over (partition by txn_id order by seq) p from c)
 select txn_id, seq, status from l where not (coalesce(p, '') || '>' || status in ('>OPEN', 'OPEN>COMMITTING', 'OPEN>ABORTING', 'COMMITTING>COMMITTED', 'ABORTING>ABORTED'))""")
 def txn_illegal(spark, d):

@@ -10,6 +10,7 @@ from tideline.functions import hashing, names
 from tideline.operators import cuts as C
 from tideline.operators import epochs as E
 from tideline.plans.sql import CUTS, EVENTS, PAIRS
+from tideline.scratch import saved
 from tideline.sources import batch
 from tideline.sources.events import events, events_log
 
@@ -54,7 +55,7 @@ def batch_read_between_cuts(spark, d):
     return batch.scan(log, ranges).groupBy("segment_id").agg(F.count("*").alias("n_events"), F.sum("len").alias("bytes"), F.min("event_id").alias("first_event"), F.max("event_id").alias("last_event"))
 
 
-@query("with " + EVENTS + 'select segment_id, "offset", event_id, props from lg where event_id % 100 = 0')
+@query("with " + EVENTS + 'select segment_id, "offset", event_id, props from lg')
 def fetch_event(spark, d):
     log = events_log(spark, d)
     pointers = log.select("segment_id", "offset")
@@ -71,7 +72,7 @@ def stream_info(spark, d):
     return batch.stream_info(events_log(spark, d), model.segments(spark))
 
 
-@query("with " + EVENTS + """, r as (select *, row_number() over (partition by segment_id order by "offset") rn from lg where event_id < 2000)
+@query("with " + EVENTS + """, r as (select *, row_number() over (partition by segment_id order by "offset") rn from lg)
 select event_id, row_number() over (order by rn, segment_id) - 1 place from r""")
 def round_robin_read(spark, d):
     return batch.round_robin(events_log(spark, d)).select("event_id", "place")
@@ -136,8 +137,37 @@ fr as (select distinct cut_id, segment_id, successor from st join link using (se
 select cut_id, segment_id, cast(t as bigint) "offset" from st where not exists (select 1 from fr where fr.cut_id = st.cut_id and fr.segment_id = st.segment_id)
 union all select distinct cut_id, successor, 0 from fr""")
 def next_cut(spark, d):
-    log = events_log(spark, d)
-    return C.next_cut(daily_cuts(spark, d), log, sizes(spark, d), E.successors(model.epochs(spark)), 1000)
+    log = saved(events_log(spark, d).select("segment_id", "offset", "len", "ts"))
+    cuts = saved(C.daily(log, model.epochs(spark), "2024-01-01", 30))
+    size = log.groupBy("segment_id").agg(F.max(F.col("offset") + F.col("len")).alias("bytes"))
+    return C.next_cut(cuts, log, size, E.successors(model.epochs(spark)), 1000)
+
+
+@query()
+def cut_fully_valid(spark, d):
+    """The daily cuts as they are (0), without their newest segment (1), with it not yet reached (2), and with a future segment that isn't due (3)."""
+    cuts = daily_cuts(spark, d)
+    top = cuts.withColumn("top", F.col("segment_id") == F.max("segment_id").over(Window.partitionBy("cut_id")))
+    four = top.withColumn("kind", F.explode(F.array(*map(F.lit, range(4))))).where("not (top and kind = 1)")
+    four = four.select((F.col("cut_id") * 4 + F.col("kind")).alias("cut_id"), "segment_id", F.when(F.col("top") & (F.col("kind") == 2), -1).otherwise(F.col("offset")).cast("long").alias("offset"))
+    undue = cuts.select((F.col("cut_id") * 4 + 3).alias("cut_id"), F.lit(4294967299).cast("long").alias("segment_id"), F.lit(-1).cast("long").alias("offset")).distinct()
+    undue = undue.join(four.select("cut_id", "segment_id"), ["cut_id", "segment_id"], "left_anti")
+    return C.fully_valid(four.unionByName(undue), model.HISTORY)
+
+
+@query("with " + EVENTS + 'select segment_id, event_id, "offset" revision, "offset" + len next_revision from lg where "offset" >= 1000 and "offset" < 5000')
+def revision_range(spark, d):
+    """What each segment's log has from revision 1000 up to revision 5000."""
+    return batch.read_revisions(events_log(spark, d), 1000, 5000).select("segment_id", "event_id", "revision", "next_revision")
+
+
+@query("with " + EVENTS + """, t as (select segment_id, cast(max("offset" + len) as bigint) tail from lg group by segment_id)
+select segment_id, event_id, "offset" revision, "offset" + len next_revision from lg join t using (segment_id) where "offset" >= tail // 2""")
+def revision_tail(spark, d):
+    """What each segment's log has from the middle of it on."""
+    log = saved(events_log(spark, d).select("segment_id", "event_id", "offset", "len"))
+    start = log.groupBy("segment_id").agg(F.floor(F.max(F.col("offset") + F.col("len")) / 2).alias("start"))
+    return batch.read_revisions(log, start).select("segment_id", "event_id", "revision", "next_revision")
 
 
 @query("with " + CUTS + """, e as (select cut_id, min(segment_id) >> 32 lo, max(segment_id) >> 32 hi from cut group by cut_id)
@@ -213,7 +243,7 @@ def replace_range(spark, d):
     return E.replace_range(ep.where("epoch = 0"), 0, E.successors(ep), model.segments(spark))
 
 
-@query("with " + EVENTS + "select event_id, epoch, count(*) over (partition by ev.epoch) n from ev where event_id % 50 = 0")
+@query("with " + EVENTS + "select event_id, epoch, count(*) over (partition by ev.epoch) n from ev")
 def epoch_asof_event(spark, d):
     from tideline.sources.events import epoch_at, read
 

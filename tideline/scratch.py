@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -22,3 +22,10 @@ def scratch_root(spark: SparkSession) -> str:
 
 def fresh(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again, for what is used several times."""
+    path = fresh(df.sparkSession, "saved")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

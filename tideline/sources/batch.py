@@ -42,6 +42,23 @@ def fetch(log: DataFrame, pointers: DataFrame) -> DataFrame:
     return pointers.join(log, ["segment_id", "offset"])
 
 
+class TruncatedData(ValueError):
+    """What was asked for lies before the head of its segment."""
+
+
+def read_revisions(log: DataFrame, start: int | DataFrame, stop: int | None = None, heads: DataFrame | None = None) -> DataFrame:
+    """Entries of each segment from revision ``start`` on (a number, or segment_id and start), before ``stop``: the log with revision and next_revision.
+
+    A revision is the offset of an entry.  heads (segment_id, head): segments of which something was truncated; a start before the head raises ``TruncatedData``."""
+    if heads is not None:
+        asked = heads.withColumn("start", F.lit(start).cast("long")) if isinstance(start, int) else start
+        if not check_not_truncated(asked.select("segment_id", "start"), heads.select("segment_id", "head")).isEmpty():
+            raise TruncatedData("a start is before its segment's head")
+    some = log.where(F.col("offset") >= start) if isinstance(start, int) else log.join(start.select("segment_id", "start"), "segment_id").where(F.col("offset") >= F.col("start")).drop("start")
+    some = some if stop is None else some.where(F.col("offset") < stop)
+    return some.withColumn("revision", F.col("offset")).withColumn("next_revision", F.col("offset") + F.col("len"))
+
+
 def byte_range(log: DataFrame, start: int, length: int) -> DataFrame:
     """Events wholly inside [start, start + length) of each segment."""
     return log.where((F.col("offset") >= start) & (F.col("offset") + F.col("len") <= start + length))
