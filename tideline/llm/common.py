@@ -9,7 +9,7 @@ from tideline.scratch import fresh
 
 
 #: Settings that bound memory and disk, whatever the texts: bytes of one batch handed to Python, and shuffle files, which go as soon as a query ends.
-SETTINGS = {"spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "16m"), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": ("false", "true")}
+SETTINGS = {"spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4m"), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": ("false", "true")}
 
 
 def bound(spark: SparkSession) -> None:

@@ -42,7 +42,7 @@ FAN_IN = 2
 BATCHES = 3
 BUCKET_BYTES, FINE_BUCKETS, LARGE_BUCKET_BYTES = 2 << 20, 4096, 6 << 20
 TABLE_BUCKETS = 1024
-CHUNK_WORDS = 1 << 19
+CHUNK_WORDS = 1 << 18
 BLOCK_BYTES = 1 << 20
 #: Claims are cut at multiples of this place in the older document, so that few different passages are asked of it.
 CLAIM = 64
