@@ -478,6 +478,29 @@ def test_sharding(spark):
     assert sharding.shard(docs(spark, []), shards=4).count() == 0
 
 
+def test_equal_texts_share_a_shard(spark):
+    rows = [(i, prose(i, 30 + i % 50)) for i in range(2000)] + [(5000 + 100 * k + i, prose(9000 + k, 90)) for k in range(7) for i in range(8 + 2 * k)]
+    got = sharding.shard(docs(spark, rows), shards=16).collect()
+    where, sizes = {}, [0] * 16
+    for r in got:
+        where.setdefault(r["text_crc32"], set()).add(r["shard"])
+        sizes[r["shard"]] += r["size"]
+    assert len(got) == len(rows) and {len(x) for x in where.values()} == {1}
+    assert max(sizes) < 1.03 * min(sizes)
+
+
+def test_many_shards(spark):
+    rows = [(i, prose(i % 2900, 20 + i % 50)) for i in range(3000)]
+    got = sharding.shard(docs(spark, rows), shards=300).groupBy("shard").sum("size").collect()
+    sizes = [r[1] for r in got]
+    assert len(sizes) == 300 and max(sizes) < 2 * sum(sizes) / 300
+
+
+def test_seats():
+    seats, held = sharding.seat([(1, 9), (2, 5), (3, 5), (4, 2)], 3)
+    assert held == [9, 7, 5] and seats == {1: 0, 2: 1, 3: 2, 4: 1}
+
+
 def test_language_id(spark):
     words = {"en": "the of and in that with which from house water".split(), "de": "der die und nicht ein straße für über haus wasser".split(), "fr": "le la et dans où été maison eau très leçon".split()}
     r = random.Random(3)
@@ -559,6 +582,14 @@ def test_lm_score(spark):
     assert lm_score.score(docs(spark, [])).count() == 0
 
 
+def test_lm_score_does_not_depend_on_the_layout(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "SHARD_BYTES", 1 << 12)
+    table = docs(spark, [(i, prose(i, 30, 60)) for i in range(600)] + [(None, prose(1)), (7, None), (7, "a b"), (7, "a b")])
+    two, seven = (sorted((str(r["doc_id"]), r["score"]) for r in lm_score.score(table.repartition(n)).collect()) for n in (2, 7))
+    assert [i for i, _ in two] == [i for i, _ in seven]
+    assert np.allclose([x for _, x in two], [x for _, x in seven], rtol=1e-9)
+
+
 def test_lm_probabilities_sum_to_one():
     h = np.arange(1, 3001, dtype=np.uint64)
     place = np.where(np.arange(3000) < 2048, np.arange(3000), -1)
