@@ -15,6 +15,7 @@ of their own, with slots of their own; an empty table gives no rows; columns bey
 from __future__ import annotations
 
 import heapq
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -186,7 +187,8 @@ def shard(docs: DataFrame, shards: int | None = None, target_bytes: int | None =
     most, whole = max(1, total // (shards * PIECES_A_SHARD)), max(1, total // shards)
     heavy = rows.groupBy("g").agg(F.sum("size").alias("all")).where(F.col("all") > most)
     seats, held = seat([(r["g"], r["all"]) for r in heavy.where(F.col("all") <= whole).collect()], shards)
-    seated = docs.sparkSession.createDataFrame(list(seats.items()), "g long, seat int")
+    listed = F.lit(json.dumps([{"g": g, "seat": s} for g, s in seats.items()]))
+    seated = docs.sparkSession.range(1).select(F.inline(F.from_json(listed, "array<struct<g: bigint, seat: int>>")))
     dealt_out = heavy.where(F.col("all") > whole).select("g", F.ceil(F.col("all") / most).cast("int").alias("pieces"))
     piece = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("pieces")), F.lit(0)).cast("int")
     rows = rows.join(F.broadcast(dealt_out), "g", "left").withColumn("piece", piece).drop("pieces").join(F.broadcast(seated), "g", "left")
