@@ -4,10 +4,10 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from tideline.plans import state_queries, stream_queries, stream_time_queries
+from tideline.plans import client_queries, state_queries, stream_queries, stream_time_queries
 
-SQL = {**stream_queries.ORACLES, **state_queries.ORACLES, **stream_time_queries.ORACLES}
-ALL = {**stream_queries.QUERIES, **state_queries.QUERIES, **stream_time_queries.QUERIES}
+SQL = {**stream_queries.ORACLES, **state_queries.ORACLES, **stream_time_queries.ORACLES, **client_queries.ORACLES}
+ALL = {**stream_queries.QUERIES, **state_queries.QUERIES, **stream_time_queries.QUERIES, **client_queries.QUERIES}
 
 
 def cell(x):

@@ -17,6 +17,12 @@ def replace(df: DataFrame, keys: list[str], value: str, seq: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.max_by(value, seq).alias("value"))
 
 
+def referenced(df: DataFrame, keys: list[str], reference: str, seq: str, adjustment: int = 0) -> DataFrame:
+    """The last value of an attribute that refers to another property, such as the segment's length: the property as it was when
+    the update was applied, plus ``adjustment``."""
+    return df.groupBy(*keys).agg((F.max_by(reference, seq) + adjustment).alias("value"))
+
+
 def set_once(df: DataFrame, keys: list[str], value: str, seq: str) -> DataFrame:
     """The first value; every later update fails."""
     return df.groupBy(*keys).agg(F.min_by(value, seq).alias("value"), (F.count("*") - 1).alias("rejected"))

@@ -91,3 +91,24 @@ def replace_range(segments: DataFrame, sealed: int, links: DataFrame, ranges: Da
     clipped = to.join(own).select("segment_id", F.greatest("key_start", "a").alias("key_start"), F.least("key_end", "b").alias("key_end"))
     every = segments.where(F.col("segment_id") != sealed).select("segment_id", "key_start", "key_end").unionByName(clipped)
     return islands(every, "segment_id").select("segment_id", "key_start", "key_end")
+
+
+def split_merge_counts(epochs: DataFrame) -> DataFrame:
+    """epoch, splits, merges up to each epoch: segments of the epoch before that overlap several of this one, and the reverse."""
+    now = epochs.select("epoch", F.col("segment_id").alias("n"), F.col("key_start").alias("ns"), F.col("key_end").alias("ne"))
+    before = epochs.select((F.col("epoch") + 1).alias("epoch"), F.col("segment_id").alias("b"), F.col("key_start").alias("bs"), F.col("key_end").alias("be"))
+    met = now.join(before, "epoch").where(overlaps(F.col("ns"), F.col("ne"), F.col("bs"), F.col("be")))
+    several = lambda side, name: met.groupBy("epoch", side).count().where("count > 1").groupBy("epoch").agg(F.count("*").alias(name))
+    up_to = Window.orderBy("epoch").rowsBetween(Window.unboundedPreceding, 0)
+    each = epochs.select("epoch").distinct().join(several("b", "s"), "epoch", "left").join(several("n", "m"), "epoch", "left").na.fill(0)
+    return each.select("epoch", F.sum("s").over(up_to).alias("splits"), F.sum("m").over(up_to).alias("merges"))
+
+
+def at_head(epochs: DataFrame, cut: DataFrame | None = None) -> DataFrame:
+    """segment_id, offset where the stream begins: the cut it was truncated at, else the segments of epoch 0 at 0."""
+    return cut.select("segment_id", "offset") if cut is not None else epochs.where("epoch = 0").select("segment_id", F.lit(0).cast("long").alias("offset"))
+
+
+def current(epochs: DataFrame) -> DataFrame:
+    """The segments of the last epoch."""
+    return epochs.join(epochs.agg(F.max("epoch").alias("epoch")), "epoch", "left_semi")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from math import exp
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TICK = 5
@@ -27,9 +27,18 @@ def ewma(ticks: DataFrame, keys: list[str], at: int) -> DataFrame:
     return ticks.where(F.col("tick") <= at).join(first, keys).groupBy(*keys).agg(*out)
 
 
-def throughput(n: Column, size: Column, kind: str) -> Column:
-    """What a rate counts: kilobytes, events, or nothing for fixed streams."""
-    return {"bytes": size / 1024, "events": n.cast("double"), "fixed": F.lit(0.0)}[kind]
+def contribution(n: Column, size: Column, lifetime: Column, kind: str, tick: int = TICK * 1000) -> Column:
+    """What a write of ``n`` events and ``size`` bytes adds to the count of its tick, by the kind of rate: bytes or events.
+
+    A transaction open for a tick (in milliseconds) or longer counts with the share of one tick, in whole units."""
+    whole = {"bytes": size, "events": n}[kind].cast("long")
+    spread = whole * tick
+    return F.when(lifetime < tick, whole).otherwise(((spread - spread % lifetime) / lifetime).cast("long"))
+
+
+def in_unit(rate: Column, kind: Column) -> Column:
+    """Kilobytes or events a second; any other kind, such as that of fixed streams, has no rate."""
+    return F.when(kind == "bytes", rate / 1024).when(kind == "events", rate)
 
 
 def decision(target: Column, age: Column) -> Column:
@@ -60,8 +69,3 @@ def unmuted(requests: DataFrame, mute: int = MUTE) -> DataFrame:
 
     far = -(1 << 62)
     return fold(requests.select("segment_id", "at", "kind"), ["segment_id"], ["at", "kind"], lambda: (far, far), step, "segment_id long, at long, kind string")
-
-
-def running(ticks: DataFrame, keys: list[str]) -> DataFrame:
-    """Events up to each tick (for amortised rates)."""
-    return ticks.withColumn("total", F.sum("n").over(Window.partitionBy(*keys).orderBy("tick")))

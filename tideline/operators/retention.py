@@ -65,3 +65,11 @@ def truncate(log: DataFrame, cut: DataFrame, segments: DataFrame) -> DataFrame:
     gone = s.join(r, overlaps(F.col("key_start"), F.col("key_end"), F.col("cs"), F.col("ce")) & (F.col("segment_id") < F.col("c"))).select("segment_id").distinct()
     live = s.join(gone, "segment_id", "left_anti").join(cut.select("segment_id", F.col("offset").alias("head")), "segment_id", "left").select("segment_id", F.coalesce("head", F.lit(0)).alias("head"))
     return log.join(live, "segment_id").where(F.col("offset") >= F.col("head")).drop("head")
+
+
+def consumed(groups: DataFrame, checkpoints: DataFrame, user_cuts: DataFrame) -> DataFrame:
+    """The cuts that hold data back: groups (group_id, mode, cut ids checkpoint and user) -> cut_id (the group's id), segment_id, offset.
+
+    mode automatic takes the group's last checkpoint, manual the cut its user gave; none, or a group without such a cut, holds nothing back."""
+    take = lambda mode, column, cuts: groups.where(F.col("mode") == mode).select("group_id", F.col(column).alias("cut_id")).join(cuts, "cut_id").select(F.col("group_id").alias("cut_id"), "segment_id", "offset")
+    return take("automatic", "checkpoint", checkpoints).unionByName(take("manual", "user", user_cuts))

@@ -31,6 +31,21 @@ def accepted_marks(marks: DataFrame) -> DataFrame:
     return fold(marks, ["writer_id"], ["seq"], lambda: None, step, schema)
 
 
+def appended_marks(attempts: DataFrame) -> DataFrame:
+    """attempts (stream, seq, expected) of several controllers to append a watermark -> each with written, revision and mark.
+
+    An append holds only if ``expected`` is the revision of the last watermark (null: it has just been read), so of controllers that
+    saw the same one, one wins.  Revisions count from 1, and 0 is the empty stream; the mark pointer trails by one watermark."""
+
+    def step(state, row):
+        tail, mark = state
+        if ok := row["expected"] is None or row["expected"] == tail:
+            tail, mark = tail + 1, tail
+        return (tail, mark), {"stream": row["stream"], "seq": row["seq"], "written": ok, "revision": tail, "mark": mark}
+
+    return fold(attempts.select("stream", "seq", "expected"), ["stream"], ["seq"], lambda: (0, 0), step, "stream string, seq long, written boolean, revision long, mark long")
+
+
 def bounds(marks: DataFrame, by: str) -> DataFrame:
     """lower and upper time bound of each round: least and greatest time of its writers."""
     return marks.groupBy(by).agg(F.min("ts_ms").alias("lower"), F.max("ts_ms").alias("upper"), F.count("*").alias("writers"))

@@ -41,3 +41,12 @@ def illegal_moves(changes: DataFrame) -> DataFrame:
     """Rows (stream, was, becomes) that the state machine doesn't allow."""
     allowed = F.array(*(F.lit(f"{a}>{b}") for a, to in STATES.items() for b in (a, *to)))
     return changes.where(~F.array_contains(allowed, F.concat_ws(">", "was", "becomes")))
+
+
+def known(asked: DataFrame, scopes: DataFrame, streams: DataFrame, active: DataFrame) -> DataFrame:
+    """asked (scope, stream, segment_id) with scope_exists, stream_exists and segment_valid (the segment is one of the active ones)."""
+    out = asked
+    for name, keys, table in (("scope_exists", ["scope"], scopes), ("stream_exists", ["scope", "stream"], streams), ("segment_valid", ["scope", "stream", "segment_id"], active)):
+        there = table.select(*keys).distinct().withColumn(name, F.lit(True))
+        out = out.join(there, keys, "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    return out
