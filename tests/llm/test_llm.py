@@ -602,3 +602,46 @@ def test_lm_probabilities_sum_to_one():
     inside = lm_score.log_share(classes[some], k) + lm_score.log_share(members, np.arange(2048) % 64)
     total = np.exp(inside).sum() + np.exp(lm_score.log_share(classes[-1:], np.array([32])))[0]
     assert abs(total - 1) < 1e-3
+
+
+def test_lm_history_tells_tokens_outside_the_classes_apart(spark):
+    r = random.Random(9)
+    often = [f"f{i}" for i in range(2100) for _ in range(40)]
+    pairs = [f"left{i} right{i}" for i in range(40) for _ in range(30)]
+    words = often + pairs
+    r.shuffle(words)
+    rows = [(None, " ".join(words[k : k + 60])) for k in range(0, len(words), 60)]
+    held = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 10 == 0][:80]
+    rows += [(i, f"f1 left{k} right{k} f2") for k, i in enumerate(held[:40])] + [(i, f"f1 left{k} right{(k + 7) % 40} f2") for k, i in enumerate(held[40:])]
+    got = {x["doc_id"]: x for x in lm_score.score(docs(spark, rows)).where("held_out").collect()}
+    same, other = (np.array([got[i]["score"] for i in ids]) for ids in (held[:40], held[40:]))
+    assert np.allclose([got[i]["base_score"] for i in held], got[held[0]]["base_score"])
+    assert same.mean() > other.mean() + 0.2
+
+
+def test_lm_shares_outside_the_classes_sum_to_one():
+    r = np.random.default_rng(3)
+    h, n = np.unique(r.integers(1, 2**63, 3000, dtype=np.uint64) * np.uint64(2)), r.integers(1, 50, 3000)
+    cells = np.bincount((h >> np.uint64(54)).astype(np.int64), n + 0.1, 1 << 10).astype(np.float32)
+    cells[5] = 0
+    h, n = h[h >> np.uint64(54) != 5], n[h >> np.uint64(54) != 5]
+    model = lm_score.Model(lm_score.Vocabulary(int(n.sum()), len(h), h[:0], n[:0], n[:0], cells))
+    rows = np.repeat(lm_score.histories(np.array([7, 9], np.uint64), np.array([0, 2]))[:, 1:], len(h), 1)
+    share = (n + 0.1) / (n + 0.1).sum()
+    assert np.allclose(lm_score.log_known(model, cells, rows, h), 0, atol=1e-4)
+    model.branches += r.normal(size=model.branches.shape).astype(np.float32)
+    way = lm_score.log_known(model, cells, rows, h)
+    assert way.std() > 0.5 and abs((np.exp(way) * share).sum() - 1) < 1e-3
+    assert lm_score.log_known(model, cells, rows[:, :1], np.array([5 << 54], np.uint64)).tolist() == [0]
+
+
+def test_lm_row_sums_and_far_scores():
+    r = np.random.default_rng(4)
+    rows, x = (r.zipf(1.3, (3, 900)) % 200).astype(np.uint16), r.normal(size=(900, 5)).astype(np.float32)
+    want, times = np.zeros((200, 5)), np.bincount(rows.ravel(), minlength=200)
+    for k in rows:
+        np.add.at(want, k, x)
+    at, sums, n = lm_score.row_sums(rows, x)
+    assert sorted(at.tolist()) == np.flatnonzero(times).tolist() and np.array_equal(n, times[at]) and np.allclose(sums, want[at], atol=1e-3)
+    far = np.array([[500, 499], [-500, -501], [1, 0]], np.float32)
+    assert np.allclose(lm_score.log_share(far, np.zeros(3, int)), -np.log1p(np.exp(-1)))

@@ -1,10 +1,11 @@
 """LM scoring with a hashed maximum-entropy model.
 
 The model gives a token its class, then the token within the class.  The ``CLASSES`` x ``MEMBERS`` most
-frequent tokens, in order of frequency, make up the classes; all others share one more class, in which
-a token has its smoothed share of training tokens, an unseen one that of a single unseen token.  So the
-probabilities of all tokens sum to 1 after any history.  Class and member scores are sums of weights of the history's features
-(the last token, the last two, the one before the last), hashed into fixed tables.
+frequent tokens, in order of frequency, make up the classes; all others share one more class, in which an unseen token has the
+smoothed share of a single one, and the known ones are the leaves of a binary tree over the bits of their hashes.  Each branch is
+taken by its smoothed share of training tokens and the history.  The tree has about a cell for each known token, up to 2^``MOST_BITS``; tokens
+of one cell share it by their exact counts.  So the probabilities of all tokens sum to 1 after any history.  Scores of classes, members
+and branches are sums of weights of the history's features (the last token, the last two, the one before the last), hashed into tables.
 
 Counts cover all training tokens and stay distributed by ranges of token hashes; the ``TOP`` most frequent are broadcast,
 which fixes the size.  Rarer tokens of a text meet their counts in the range's task, and only sums by text come back.  Training goes over all
@@ -20,7 +21,7 @@ from __future__ import annotations
 
 import copy
 import struct
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,9 @@ from tideline.llm.textkernel import SPACES, Splitter, mix, string_buffer
 CLASSES, MEMBERS = 32, 64
 CLASS_ROWS, MEMBER_ROWS = 1 << 12, 1 << 13
 TOP = 1 << 17
-ROUNDS, STEP, RATE = 2, 1 << 13, 0.15
+ROUNDS, STEP, BRANCH_STEP, RATE = 2, 1 << 13, 1 << 14, 0.15
+MOST_BITS = 22
+BRANCH_BITS = 16, 20  # of the table of branches: least, most
 SHARD_BYTES, LEAST_SHARDS = 16 << 20, 8
 BUCKET_BYTES = 24 << 20
 CHUNK_TOKENS = 1 << 20
@@ -127,6 +130,7 @@ class Vocabulary:
     top: np.ndarray  # sorted hashes of the TOP most frequent
     counts: np.ndarray
     place: np.ndarray  # class * MEMBERS + member; -1 outside the classes
+    cells: np.ndarray = field(default_factory=lambda: np.zeros(2, np.float32))  # smoothed training tokens outside the classes, by the first bits of their hashes
 
     @property
     def rest(self) -> tuple[int, int]:
@@ -143,6 +147,23 @@ class Vocabulary:
         return np.where(same, self.counts[at], -1), np.where(same, self.place[at], -1)
 
 
+def _cells(own: np.ndarray, bits: int):
+    """kind 2 -> smoothed counts of the tokens not in ``own``, by cells from ``first`` on."""
+
+    def run(batches):
+        for b in batches:
+            for body in b.column(0).to_pylist():
+                (m,) = struct.unpack_from("<q", body)
+                h, n = np.frombuffer(body, np.uint64, m, 8), np.frombuffer(body, np.int64, m, 8 + 8 * m)
+                rest = ~np.isin(h, own)
+                cell = (h[rest] >> np.uint64(64 - bits)).astype(np.int64)
+                if len(cell):
+                    mass = np.bincount(cell - cell[0], n[rest] + ALPHA).astype(np.float32)
+                    yield pa.RecordBatch.from_arrays([pa.array([int(cell[0])]), pa.array([mass.tobytes()])], ["first", "mass"])
+
+    return run
+
+
 def vocabulary(counted: DataFrame) -> Vocabulary:
     sums = counted.where("kind = 3").select("body")
     one = sums.mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array([struct.unpack("<qq", x)[k] for x in b.column(0).to_pylist()], pa.int64()) for k in (0, 1)], ["n", "v"]) for b in bs), "n long, v long")
@@ -152,7 +173,15 @@ def vocabulary(counted: DataFrame) -> Vocabulary:
     h, n = best.column("h").to_numpy().view(np.uint64), best.column("n").to_numpy()
     place = np.where(np.arange(len(h)) < CLASSES * MEMBERS, np.arange(len(h)), -1)
     order = np.argsort(h)
-    return Vocabulary(total, distinct, h[order], n[order], place[order])
+    voc = Vocabulary(total, distinct, h[order], n[order], place[order])
+    if voc.rest[1]:
+        bits = min(MOST_BITS, max(1, (voc.rest[1] - 1).bit_length()))
+        voc.cells = np.zeros(1 << bits, np.float32)
+        # ranges of buckets may share a cell at their ends
+        for row in counted.where("kind = 2").select("body").mapInArrow(_cells(voc.top[voc.place >= 0], bits), "first long, mass binary").orderBy("first", F.length("mass")).collect():
+            mass = np.frombuffer(row["mass"], np.float32)
+            voc.cells[row["first"] : row["first"] + len(mass)] += mass
+    return voc
 
 
 class Model:
@@ -171,6 +200,16 @@ class Model:
         self.class_bias -= self.class_bias.max()
         self.class_bias[:-1][by_class.sum(1) == 0] = -1e4
         self.member_bias = np.where(by_class > 0, np.log(np.maximum(by_class, 1)), -1e4).astype(np.float32)
+        # branch k leads to 2k and 2k + 1; where only one of them has tokens, it is as good as certain
+        self.bits = len(v.cells).bit_length() - 1
+        self.branches = np.zeros(1 << min(max(self.bits, BRANCH_BITS[0]), BRANCH_BITS[1]), np.float32)
+        self.branch_bias = np.zeros(len(v.cells), np.float32)
+        mass = v.cells.astype(float)
+        self.known = mass.sum()
+        while len(mass) > 1:
+            mass = mass.reshape(-1, 2)
+            self.branch_bias[len(mass) : 2 * len(mass)] = np.where(mass.all(1), np.diff(np.log(np.maximum(mass, 1e-9)))[:, 0], 40 * np.diff(np.sign(mass))[:, 0])
+            mass = mass.sum(1)
 
 
 def histories(h: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -184,37 +223,85 @@ def histories(h: np.ndarray, begin: np.ndarray) -> np.ndarray:
         return np.stack([mix(one), mix(one * np.uint64(0x9E3779B97F4A7C15) + two), mix(two ^ np.uint64(0x2545F4914F6CDD1D))])
 
 
+def _exps(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """exp of each row less what it is shifted by, which is 0 unless exp leaves the range of floats; sums of rows; shifts."""
+    with np.errstate(over="ignore"):
+        e = np.exp(x)
+        total, shift = np.einsum("ij->i", e), np.zeros(len(x), np.float32)
+    if len(far := np.flatnonzero(~((total > 1e-30) & (total < 1e30)))):
+        shift[far] = x[far].max(1)
+        e[far] = np.exp(x[far] - shift[far, None])
+        total[far] = np.einsum("ij->i", e[far])
+    return e, total, shift
+
+
 def log_share(x: np.ndarray, at: np.ndarray) -> np.ndarray:
     """log of softmax(x) at one column of each row."""
-    top = x.max(1)
-    return x[np.arange(len(x)), at] - top - np.log(np.exp(x - top[:, None]).sum(1))
+    _, total, shift = _exps(x)
+    return x[np.arange(len(x)), at] - shift - np.log(total)
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(1, keepdims=True)
-    return x
+    e, total, _ = _exps(x)
+    e /= total[:, None]
+    return e
 
 
 def scores(model: Model, rows: np.ndarray, place: np.ndarray):
     """Scores of all classes with their table rows; and of the tokens in classes: which, their class, table rows, member scores."""
     c = (rows & np.uint64(CLASS_ROWS - 1)).astype(np.uint16)
-    classes = model.classes[c[0]]
-    classes += model.classes[c[1]]
-    classes += model.classes[c[2]]
+    classes = model.classes.take(c[0], 0)
+    classes += model.classes.take(c[1], 0)
+    classes += model.classes.take(c[2], 0)
     classes += model.class_bias
     some = np.flatnonzero(place >= 0)
     k = place[some] // MEMBERS
     with np.errstate(over="ignore"):
         m = (mix(rows[:, some] + k.astype(np.uint64)) & np.uint64(MEMBER_ROWS - 1)).astype(np.uint16)
-    members = model.members[m[0]]
-    members += model.members[m[1]]
-    members += model.members[m[2]]
-    members += model.member_bias[k]
+    members = model.members.take(m[0], 0)
+    members += model.members.take(m[1], 0)
+    members += model.members.take(m[2], 0)
+    members += model.member_bias.take(k, 0)
     return classes, c, some, k, m, members
 
 
+def branches(model: Model, rows: np.ndarray, h: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The branches on the ways to the cells of ``h``, by depth and token: places in the table, whether the second side is taken, its log odds."""
+    d = np.arange(model.bits, dtype=np.uint64)[:, None]
+    node = h >> np.uint64(1) >> (np.uint64(63) - d)
+    node |= np.uint64(1) << d
+    taken = (h >> (np.uint64(63) - d) & np.uint64(1)).astype(bool)
+    odds = model.branch_bias.take(node.view(np.int64))
+    shift = np.uint64(65 - len(model.branches).bit_length())
+    places = []
+    with np.errstate(over="ignore"):
+        node *= np.uint64(0x9E3779B97F4A7C15)
+        for f in rows:
+            x = node ^ f
+            x *= np.uint64(0xD6E8FEB86659FD93)
+            x >>= shift
+            places.append(x.view(np.int64))
+            odds += model.branches.take(places[-1])
+    return places, taken, odds
+
+
+def log_known(model: Model, cells: np.ndarray, rows: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """log of what the history makes of the share of a known token outside the classes: P(cell) by P(cell) without a history."""
+    out = np.zeros(len(h))
+    for lo in range(0, len(h), STEP):
+        s = slice(lo, lo + STEP)
+        _, taken, odds = branches(model, rows[:, s], h[s])
+        odds *= 1 - 2 * taken.astype(np.float32)
+        np.minimum(odds, 80, out=odds)
+        np.exp(odds, out=odds)
+        odds += 1
+        np.log(odds, out=odds)
+        mass = cells.take((h[s] >> np.uint64(64 - model.bits)).astype(np.int64)).astype(float)
+        some = mass > 0  # in an empty cell nothing is known
+        out[s][some] = np.log(model.known) - np.log(mass[some]) - odds.sum(0, dtype=float)[some]
+    return out
+
+
 def log_probabilities(model: Model, h: np.ndarray, begin: np.ndarray, place: np.ndarray) -> np.ndarray:
     """Natural logarithm of P(class) or P(class) P(member) of each token."""
     rows, out = histories(h, begin), np.empty(len(h))
@@ -230,6 +317,27 @@ def log_probabilities(model: Model, h: np.ndarray, begin: np.ndarray, place: np.
     return out
 
 
+def row_sums(rows: np.ndarray, values: np.ndarray, near: int = 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct rows, sums of ``values`` by row, how many) for some sets of ``rows``, each as long as ``values``."""
+    flat = rows.ravel()
+    order = np.argsort(flat, kind="stable")
+    s = flat[order]
+    cut = np.flatnonzero(np.diff(s.astype(np.int32), prepend=-1))
+    n = np.diff(cut, append=len(s))
+    by_size = np.argsort(-n, kind="stable")
+    cut, n = cut[by_size], n[by_size]
+    order %= len(values)
+    sums = values.take(order[cut], 0)
+    for k in range(1, near):  # the k-th of every row that has one: few steps over many rows
+        m = int(np.searchsorted(-n, -k, "left"))
+        sums[:m] += values.take(order[cut[:m] + k], 0)
+    if m := int(np.searchsorted(-n, -near, "left")):
+        left = n[:m] - near
+        begin = np.cumsum(left) - left
+        sums[:m] += np.add.reduceat(values.take(order[np.repeat(cut[:m] + near - begin, left) + np.arange(left.sum())], 0), begin, axis=0)
+    return s[cut], sums, n
+
+
 class _Table:
     """Adagrad on the touched rows of one table."""
 
@@ -239,25 +347,48 @@ class _Table:
         self.seen = np.zeros(len(weights), np.int64)
 
     def step(self, rows: np.ndarray, grad: np.ndarray) -> None:
-        for r in rows:
-            order = np.argsort(r, kind="stable")
-            s = r[order]
-            cut = np.flatnonzero(np.diff(s.astype(np.int32), prepend=-1))
-            at = s[cut]
-            g = np.add.reduceat(grad[order], cut, axis=0)
-            self.total[at] += g * g
-            self.weights[at] -= RATE * g / np.sqrt(self.total[at])
-            self.seen[at] += np.diff(cut, append=len(s))
+        at, g, n = row_sums(rows, grad)
+        total = self.total.take(at, 0)
+        total += g * g
+        self.total[at] = total
+        np.sqrt(total, out=total)
+        g *= RATE
+        g /= total
+        self.weights[at] -= g
+        self.seen[at] += n
+
+    def change(self) -> bytes:
+        n = self.seen.astype(np.float32)
+        return ((self.weights - self.start) * n[:, None]).astype(np.float32).tobytes() + n.tobytes()
+
+
+class _Branches:
+    """Adagrad on single weights; a change weighs by its squared gradients."""
+
+    def __init__(self, weights: np.ndarray):
+        self.start, self.weights = weights.copy(), weights
+        self.total = np.zeros(weights.shape, np.float32)
+
+    def step(self, places: list[np.ndarray], grad: np.ndarray) -> None:
+        grad = grad.ravel().astype(float)
+        g = sum(np.bincount(at.ravel(), grad, len(self.weights)) for at in places).astype(np.float32)
+        self.total += g * g
+        g *= np.float32(RATE)
+        g /= np.sqrt(self.total + np.float32(1e-2))
+        self.weights -= g
+
+    def change(self) -> bytes:
+        return ((self.weights - self.start) * self.total).tobytes() + self.total.tobytes()
 
 
 def _learn(splitter: Splitter, shared):
-    """text -> the changes of one shard: kind 0 of classes, 1 of members; bucket is the shard, which is the task."""
+    """text -> the changes of one shard: kind 0 of classes, 1 of members, 2 of branches; bucket is the shard, which is the task."""
 
     def run(batches):
         voc, model = shared.value
         model = copy.copy(model)  # a worker keeps what was broadcast for its next tasks, so that may not change
-        model.classes, model.members = model.classes.copy(), model.members.copy()
-        tables = _Table(model.classes), _Table(model.members)
+        model.classes, model.members, model.branches = model.classes.copy(), model.members.copy(), model.branches.copy()
+        tables = _Table(model.classes), _Table(model.members), _Branches(model.branches)
         for _, data, offsets in _blocks(batches, 0):
             h, begin = tokens(splitter, data, offsets)
             rows, (_, place) = histories(h, begin), voc.look_up(h)
@@ -273,11 +404,17 @@ def _learn(splitter: Splitter, shared):
                     grad = _softmax(members)
                     grad[np.arange(len(grad)), place[s][some] % MEMBERS] -= 1
                     tables[1].step(m, grad)
-        out = []
-        for kind, t in enumerate(tables):
-            n = t.seen.astype(np.float32)
-            out.append((kind, TaskContext.get().partitionId(), ((t.weights - t.start) * n[:, None]).astype(np.float32).tobytes() + n.tobytes()))
-        yield _rows(out)
+            rest = np.flatnonzero(place < 0)
+            for lo in range(0, len(rest), BRANCH_STEP):
+                s = rest[lo : lo + BRANCH_STEP]
+                places, taken, odds = branches(model, rows[:, s], h[s])
+                np.minimum(np.negative(odds, out=odds), 80, out=odds)
+                np.exp(odds, out=odds)
+                odds += 1
+                np.divide(1, odds, out=odds)
+                odds -= taken
+                tables[2].step(places, odds)
+        yield _rows([(kind, TaskContext.get().partitionId(), t.change()) for kind, t in enumerate(tables)])
 
     return run
 
@@ -305,10 +442,10 @@ def train(texts: DataFrame, voc: Vocabulary, splitter: Splitter, shards: int) ->
             changes = changes.withColumn("node", F.floor(F.col("bucket") / FAN_IN)).groupBy("kind", "node").applyInArrow(_add, ENTRY)
             left = -(-left // FAN_IN)
         for row in changes.collect():  # one row a table
-            table = (model.classes, model.members)[row["kind"]]
+            table = (model.classes, model.members, model.branches)[row["kind"]]
             v = np.frombuffer(row["body"], np.float32)
             n = v[table.size :]
-            table += v[: table.size].reshape(table.shape) / np.maximum(n, 1)[:, None]
+            table += v[: table.size].reshape(table.shape) / np.where(n > 0, n, 1).reshape(-1, *[1] * (table.ndim - 1))
         shared.unpersist()
     return model
 
@@ -317,24 +454,24 @@ _DOC = [("has_id", np.uint8), ("doc_id", np.int64), ("held_out", np.uint8), ("n_
 
 
 def _score(splitter: Splitter, nb: int, shared):
-    """(doc_id, held_out, text) -> kind 0: a chunk's texts with what is known here; kind 1: (rare token, text) of a bucket."""
+    """(doc_id, held_out, text) -> kind 0: a chunk's texts with what is known here; kind 1: (rare token, text, what the history makes of its share) of a bucket."""
 
     def run(batches):
         voc, model = shared.value
         task, seq = TaskContext.get().partitionId(), 0
-        docs, rare, owner, size, count = [], [], [], 0, 0
+        docs, rare, owner, ways, size, count = [], [], [], [], 0, 0
 
         def flush():
             number = (task << 32) + seq
             columns = [np.concatenate([d[k] for d in docs]) for k in range(len(_DOC))]
             rows = [(0, number, struct.pack("<q", count) + b"".join(c.astype(t).tobytes() for c, (_, t) in zip(columns, _DOC, strict=True)))]
-            h, own = np.concatenate(rare), np.concatenate(owner)
-            order = np.argsort(h)
-            h, own = h[order], own[order].astype(np.uint16)
+            h, own, way = np.concatenate(rare), np.concatenate(owner), np.concatenate(ways)
+            order = np.argsort(h, kind="stable")
+            h, own, way = h[order], own[order].astype(np.uint16), way[order].astype(np.float32)
             cuts = np.searchsorted(_bucket(h, nb), np.arange(nb + 1, dtype=np.uint64))
             for b in np.flatnonzero(np.diff(cuts)):
                 s = slice(cuts[b], cuts[b + 1])
-                rows.append((1, int(b), struct.pack("<qq", number, s.stop - s.start) + _planes(h[s], 8) + own[s].tobytes()))
+                rows.append((1, int(b), struct.pack("<qq", number, s.stop - s.start) + _planes(h[s], 8) + own[s].tobytes() + way[s].tobytes()))
             return _rows(rows)
 
         for b, data, offsets in _blocks(batches, 2):
@@ -342,17 +479,20 @@ def _score(splitter: Splitter, nb: int, shared):
             n, place = voc.look_up(h)
             logs = log_probabilities(model, h, begin, place) / np.log(10)
             known, out = n > 0, place < 0
+            rest, way = np.flatnonzero(out), np.zeros(len(h))
+            way[rest] = log_known(model, voc.cells, histories(h, begin)[:, rest], h[rest]) / np.log(10)
             by = lambda x: np.add.reduceat(x, begin[:-1])
             smooth = np.where(known, np.log10(np.maximum(n, 0) + ALPHA), 0)
             ids = b.column(0)
-            docs.append((~np.asarray(ids.is_null()), ids.fill_null(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False), np.diff(begin), by(known.astype(np.int64)), by(smooth), by(logs + np.where(out, smooth, 0)), by(out.astype(np.int64))))
+            docs.append((~np.asarray(ids.is_null()), ids.fill_null(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False), np.diff(begin), by(known.astype(np.int64)), by(smooth), by(logs + np.where(out & known, smooth + way, 0)), by(out.astype(np.int64))))
             unknown = np.flatnonzero(~known)
             rare.append(h[unknown])
             owner.append(count + np.searchsorted(begin, unknown, "right") - 1)
+            ways.append(way[unknown])
             count, size = count + len(begin) - 1, size + len(h)
             if size >= CHUNK_TOKENS or count > 60_000:
                 yield flush()
-                docs, rare, owner, size, count, seq = [], [], [], 0, 0, seq + 1
+                docs, rare, owner, ways, size, count, seq = [], [], [], [], 0, 0, seq + 1
         if docs:
             yield flush()
 
@@ -372,13 +512,15 @@ def _answer(table: pa.Table) -> pa.Table:
         if k == 1:
             number, m = struct.unpack_from("<qq", x)
             asked, own = _unplanes(x, 16, m, 8), np.frombuffer(x, np.uint16, m, 16 + 8 * m)
+            way = np.frombuffer(x, np.float32, m, 16 + 10 * m)
             count = np.zeros(m, np.int64)
             if len(h):
                 at = np.minimum(np.searchsorted(h, asked), len(h) - 1)
                 count = np.where(h[at] == asked, n[at], 0)
             texts, inverse = np.unique(own, return_inverse=True)
             known, logs = np.bincount(inverse, count > 0).astype(np.int32), np.bincount(inverse, np.log10(count + ALPHA))
-            out.append((5, number, struct.pack("<q", len(texts)) + texts.tobytes() + known.tobytes() + logs.tobytes()))
+            more = np.bincount(inverse, np.where(count > 0, way, 0))
+            out.append((5, number, struct.pack("<q", len(texts)) + texts.tobytes() + known.tobytes() + logs.tobytes() + more.tobytes()))
     return pa.Table.from_batches([_rows(out)])
 
 
@@ -404,7 +546,7 @@ def _finish(total: int, distinct: int, rest: tuple[int, int]):
                 logs = np.frombuffer(x, np.float64, c, 8 + 6 * c)
                 v["n_known"][texts] += np.frombuffer(x, np.int32, c, 8 + 2 * c)
                 v["base"][texts] += logs
-                v["model"][texts] += logs  # rare tokens are outside the classes
+                v["model"][texts] += logs + np.frombuffer(x, np.float64, c, 8 + 14 * c)  # rare tokens are outside the classes
         base = v["base"] - v["n_tokens"] * all_log
         score = v["model"] - v["rest"] * rest_log
         ids = pa.array(v["doc_id"], mask=v["has_id"] == 0)
