@@ -38,11 +38,11 @@ CLASS_ROWS, MEMBER_ROWS = 1 << 12, 1 << 13
 TOP = 1 << 17
 ROUNDS, STEP, BRANCH_STEP, RATE = 2, 1 << 13, 1 << 14, 0.15
 MOST_BITS = 22
-BRANCH_BITS = 16, 20  # of the table of branches: least, most
+BRANCH_BITS = 16, 19  # of the table of branches: least, most
 SHARD_BYTES, LEAST_SHARDS = 16 << 20, 8
 BUCKET_BYTES = 24 << 20
 CHUNK_TOKENS = 1 << 20
-FAN_IN = 32
+FAN_IN = 8
 STOP = np.uint64(0xFFFFFFFFFFFFFFF1)
 START = np.uint64(0x5151515151515151)
 MASK40 = np.uint64((1 << 40) - 1)
